@@ -34,8 +34,7 @@ _ACCENTED, _PLAIN = _accent_table()
 
 
 def strip_accents(c: Column) -> Column:
-    """Drop accents; plain ASCII rows skip the table."""
-    return F.when(c.rlike(r"[^\x00-\x7F]"), F.translate(c, _ACCENTED, _PLAIN)).otherwise(c)
+    return F.translate(c, _ACCENTED, _PLAIN)
 
 
 def collapse_spaces(c: Column) -> Column:
@@ -164,35 +163,32 @@ AVAILABLE_WORDS = ("si", "s", "disponible", "disp", "true", "yes", "x", "en stoc
 UNAVAILABLE_WORDS = ("no", "n", "no disponible", "agotado", "sin stock", "false", "0")
 
 
-def availability_of(text: Column, number: Column | None = None) -> Column:
-    """Struct(availability, stock) of a stock cell given as text and, if numeric, as number."""
-    norm = normalize_text(text)
+def availability_of(text: Column, norm: Column, number: Column | None = None) -> Column:
+    """Struct(availability, stock) of a stock cell.
+
+    `norm` is its normalised text, stored as a column by the caller because it is read
+    several times; `number` is set for numeric cells.
+    """
     typed = number if number is not None else F.lit(None).cast("double")
     counted = F.coalesce(
-        typed,
-        F.when(norm.rlike(r"^\d+([.,]\d+)?$"), F.regexp_replace(norm, ",", ".").try_cast("double")),
-    )
-    state = (
-        F.when(text.isNull() & typed.isNull(), "UNKNOWN")
-        .when(counted > 0, "AVAILABLE")
-        .when(counted.isNotNull(), "OUT_OF_STOCK")
-        .when(text == "", "UNKNOWN")
-        .when(norm.isin(*AVAILABLE_WORDS), "AVAILABLE")
-        .when(norm.isin(*UNAVAILABLE_WORDS), "OUT_OF_STOCK")
-        .otherwise("UNKNOWN")
+        typed, F.when(norm.rlike(r"^\d+([.,]\d+)?$"), F.replace(norm, F.lit(","), F.lit(".")).cast("double"))
     )
-    stock = F.when(counted > 0, counted).when(
-        counted.isNotNull() | ((text != "") & norm.isin(*UNAVAILABLE_WORDS)), F.lit(0.0)
+    refused = (text != "") & norm.isin(*UNAVAILABLE_WORDS)
+    outcome = (
+        F.when(counted > 0, F.struct(F.lit("AVAILABLE"), counted))
+        .when(counted.isNotNull() | refused, F.struct(F.lit("OUT_OF_STOCK"), F.lit(0.0)))
+        .when(norm.isin(*AVAILABLE_WORDS), F.struct(F.lit("AVAILABLE"), F.lit(None).cast("double")))
+        .otherwise(F.struct(F.lit("UNKNOWN"), F.lit(None).cast("double")))
     )
-    return F.struct(state.alias("availability"), stock.alias("stock"))
+    return outcome.cast("struct<availability:string,stock:double>")
 
 
 def parse_price(text: Column, thousands: Column, decimal: Column, number: Column | None = None) -> Column:
     """Price cell to a double with two decimals; formats are columns because files differ."""
-    kept = F.regexp_replace(trim_text(text), r"[^0-9.,\-]", "")
-    no_groups = F.when(thousands == "none", kept).otherwise(F.replace(kept, thousands, F.lit("")))
+    kept = F.regexp_replace(text, r"[^0-9.,\-]", "")
+    ungrouped = F.replace(kept, F.when(thousands == "none", " ").otherwise(thousands), F.lit(""))
     # only the first decimal sign becomes a point
-    pointed = F.when(decimal == ",", F.regexp_replace(no_groups, r"^([^,]*),", "$1.")).otherwise(no_groups)
+    pointed = F.regexp_replace(ungrouped, F.when(decimal == ",", r"^([^,]*),").otherwise(r"^([^.]*)\."), F.lit("$1."))
     value = F.nullif(F.regexp_extract(pointed, r"^(-?(?:\d+\.?\d*|\.\d+))", 1), F.lit("")).cast("double")
     parsed = half_up(value, 2)
     return parsed if number is None else F.coalesce(half_up(number, 2), parsed)

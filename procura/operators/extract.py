@@ -430,6 +430,16 @@ def extract_attributes(
     return d.select(*[x for x in df.columns if x != out], out)
 
 
+def extract_distinct(df: DataFrame, text_col: str, required_col: str, out: str = "attrs") -> DataFrame:
+    """As `extract_attributes`, parsing each distinct (text, required) once.
+
+    Lists repeat the same descriptions, and a parse costs far more than a shuffled row.
+    """
+    keyed = df.withColumn(text_col, F.coalesce(F.col(text_col), F.lit("")))
+    texts = keyed.select(text_col, required_col).distinct()
+    return keyed.join(extract_attributes(texts, text_col, F.col(required_col), out), [text_col, required_col], "left")
+
+
 def add_ingredient_guess(df: DataFrame, text_col: str, out: str) -> DataFrame:
     """Name alone, for texts without a dose; null if any digit is left after pack sizes."""
     packaging = "|".join(V.WORD_TO_PACKAGING)

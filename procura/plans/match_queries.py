@@ -97,7 +97,8 @@ def parsed_prices(spark, sf):
 def availability_words(spark, sf):
     words = F.array(*[F.lit(x) for x in ("Sí", "Agotado", "50", "0", "???", "EN  STOCK", "1,5")])
     d = B.table(spark, sf, "lineitem").select(F.get(words, (c("l_orderkey") % 7).cast("int")).alias("cell"))
-    a = T.availability_of(c("cell"))
+    d = d.withColumn("norm", T.normalize_text(c("cell")))
+    a = T.availability_of(c("cell"), c("norm"))
     return d.groupBy("cell", a["availability"].alias("availability"), F.coalesce(a["stock"], F.lit(-1.0)).alias("stock")).agg(
         F.count(F.lit(1)).cast("long").alias("n")
     )
