@@ -10,6 +10,7 @@ from procura.operators import ingest as I
 from procura.operators import warehouse as WH
 from procura.plans import bridge as B
 from procura.plans.oracle_views import PRICE_ROWS, PRODUCTS, WAREHOUSE, views
+from procura.session import cut_lineage
 from procura.sources import requests as R
 from procura.sources import sheets as S
 
@@ -90,8 +91,14 @@ def header_detect(spark, sf):
     )
 
 
+def _sheets(spark, sf):
+    """Grid and its analysis, as an import would have them: written once."""
+    g = cut_lineage(grid(spark, sf))
+    return g, S.analyze_sheets(g, list_files(spark, sf))
+
+
 def _analysis(spark, sf):
-    return S.analyze_sheets(grid(spark, sf), list_files(spark, sf))
+    return _sheets(spark, sf)[1]
 
 
 def column_map(spark, sf):
@@ -106,8 +113,8 @@ def price_format(spark, sf):
 
 
 def _mapped(spark, sf):
-    rows = S.data_rows(grid(spark, sf), _analysis(spark, sf))
-    return rows, I.map_rows(rows)
+    rows = S.data_rows(*_sheets(spark, sf))
+    return rows, cut_lineage(I.map_rows(rows))
 
 
 def row_errors(spark, sf):
@@ -134,7 +141,7 @@ def import_report(spark, sf):
 
 
 def preview(spark, sf):
-    rows = S.data_rows(grid(spark, sf), _analysis(spark, sf))
+    rows = S.data_rows(*_sheets(spark, sf))
     return S.preview_rows(rows).select(
         "file_id", c("row_no").cast("long").alias("row_no"), S.cell_text(F.get("cells", F.lit(0))).alias("code")
     )
@@ -273,13 +280,13 @@ def request_grid(spark, sf):
 
 
 def request_columns(spark, sf):
-    d = R.request_columns(request_grid(spark, sf))
+    d = R.request_columns(cut_lineage(request_grid(spark, sf)))
     number = lambda x: F.coalesce(c(x), F.lit(-1)).cast("long").alias(x)
     return d.select("file_id", *[number(x) for x in ("header_row", "product_column", "quantity_column", "client_column")])
 
 
 def request_lines(spark, sf):
-    g = request_grid(spark, sf)
+    g = cut_lineage(request_grid(spark, sf))
     d = R.request_lines(g, R.request_columns(g))
     return d.groupBy("file_id").agg(
         F.count(F.lit(1)).cast("long").alias("lines"), F.sum("quantity").cast("long").alias("quantity"),

@@ -140,7 +140,7 @@ def quote_totals(spark, sf):
 
 _BASE = views(PRODUCTS, PRICE_ROWS, OFFERS, LATEST, CURRENT, ENRICHED)
 _ALL = views(*PRICING)
-_QUOTED = _ALL + """, quoted AS (
+QUOTED = _ALL + """, quoted AS (
   SELECT n.*, c.* EXCLUDE (generic_key, quantity, asked_size),
          CASE WHEN n.quantity = 0 THEN 'COVERED_BY_STOCK' WHEN c.n_offers IS NULL THEN 'NOT_FOUND'
               WHEN c.n_eligible = 0 THEN 'NO_STOCK' ELSE 'SELECTED' END AS status
@@ -180,7 +180,7 @@ ORACLES = {
     "net_quantity": views(PRODUCTS, WAREHOUSE, ITEMS, NET)
     + """SELECT item_id, CAST(requested_quantity AS BIGINT) AS requested_quantity, CAST(warehouse_stock AS BIGINT) AS warehouse_stock,
        CAST(quantity AS BIGINT) AS quantity_to_purchase, CASE WHEN quantity = 0 THEN 'COVERED_BY_STOCK' ELSE 'TO_BUY' END AS status FROM net""",
-    "best_offer_per_item": _QUOTED
+    "best_offer_per_item": QUOTED
     + """SELECT item_id, status, CASE WHEN status='SELECTED' THEN selected_offer_id ELSE '' END AS selected_offer_id,
        CASE WHEN status='SELECTED' THEN packages ELSE 0 END AS packages,
        CASE WHEN status='SELECTED' THEN CAST(total_price AS DOUBLE) WHEN status='COVERED_BY_STOCK' THEN 0.0::DOUBLE ELSE -1.0::DOUBLE END AS total_price,
@@ -206,7 +206,7 @@ SELECT generic_key, CAST(quantity AS BIGINT) AS quantity, CAST(asked_size AS BIG
   CAST(unit_price AS DOUBLE) AS unit_price, CAST(total_cost AS DOUBLE) AS total_cost, (rk = 1 AND in_pool) AS selected
 FROM pos WHERE pos <= 20 OR (rk = 1 AND in_pool)""",
     "unit_prices": _BASE + "SELECT offer_id, CAST(unit_price AS DOUBLE) AS unit_price, safe FROM rich",
-    "quote_reasons": _QUOTED
+    "quote_reasons": QUOTED
     + f"""SELECT item_id, CASE
     WHEN status='COVERED_BY_STOCK' THEN 'Ya hay ' || warehouse_stock || ' unidades en bodega, suficientes para las ' || requested_quantity || ' solicitadas — no es necesario comprar ni cotizar.'
     WHEN status='NOT_FOUND' THEN 'No hay ninguna oferta de proveedor registrada para este producto.'
@@ -215,7 +215,7 @@ FROM pos WHERE pos <= 20 OR (rk = 1 AND in_pool)""",
       || supplier_name || ', ' || packages || ' empaque(s) x' || package_size || ' a ' || {_pesos('unit_price', 2)} || ' c/u = ' || {_pesos('total_price', 0)} || '.'
       || CASE WHEN availability = 'UNKNOWN' THEN ' ⚠ Disponibilidad desconocida (no reportada por el proveedor).' ELSE '' END
     END AS reason FROM quoted""",
-    "quote_totals": _QUOTED
+    "quote_totals": QUOTED
     + """SELECT request_id, count(*) AS lines, CAST(sum(CASE WHEN status='SELECTED' THEN total_price ELSE 0 END) AS DOUBLE) AS total,
        CAST(sum(CASE WHEN status='SELECTED' THEN savings ELSE 0 END) AS DOUBLE) AS savings FROM quoted GROUP BY 1""",
 }
