@@ -31,10 +31,9 @@ def warehouse_snapshot(lines: DataFrame) -> DataFrame:
 
 
 def warehouse_report(lines: DataFrame, snapshot: DataFrame) -> DataFrame:
+    keys = snapshot.agg(F.count(F.lit(1)).alias("n")).scalar()
     rows = lines.where(trim_text(c("text")) != "").agg(F.count(F.lit(1)).alias("total_rows"))
-    keys = snapshot.agg(F.count(F.lit(1)).alias("distinct_products"))
-    # two one-row results side by side
-    return rows.withColumn("k", F.lit(1)).join(keys.withColumn("k", F.lit(1)), "k").drop("k")
+    return rows.withColumn("distinct_products", keys)
 
 
 def warehouse_lookup(generics: DataFrame, stock: DataFrame, synonyms: DataFrame) -> DataFrame:

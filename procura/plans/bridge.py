@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from procura.functions.text import half_up
+from procura.operators.skew import hot_keys, skew_join
 
 c = F.col
 
@@ -178,12 +179,12 @@ def warehouse(spark: SparkSession, sf: str) -> DataFrame:
 
 def generic_items(spark: SparkSession, sf: str, with_stock: bool = True) -> DataFrame:
     """Matched lines with their generic key and own stock, ready for net quantities."""
-    from procura.operators.skew import skew_join
-
     known = products(spark, sf).select("product_id", "generic_key")
     if with_stock:
         stock = warehouse(spark, sf).select("generic_key", c("quantity").alias("warehouse_stock"))
         known = known.join(stock, "generic_key", "left")
     else:
         known = known.withColumn("warehouse_stock", F.lit(0))
-    return skew_join(matched_items(spark, sf), known, ["product_id"], ["item_id"], "left")
+    lines = matched_items(spark, sf)
+    raw = table(spark, sf, "lineitem").select(c("l_partkey").cast("string").alias("product_id"))
+    return skew_join(lines, known, ["product_id"], ["item_id"], "left", hot_keys(raw, ["product_id"]))

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from procura.operators import browse, decisions, orders
+from procura.operators import browse, catalog, decisions, orders
 from procura.operators import pricing as P
 from procura.plans import bridge as B
-from procura.plans.oracle_views import CURRENT, ENRICHED, LATEST, OFFERS, PRICE_ROWS, PRODUCTS, views
-from procura.plans.pricing_queries import QUOTED, money, net_items, rich_offers
+from procura.plans.oracle_views import CURRENT, ENRICHED, ITEMS, LATEST, OFFERS, PRICE_ROWS, PRODUCTS, views
+from procura.plans.pricing_queries import QUOTED, money, net_items, quotes_of, rich_offers
 from procura.session import cut_lineage
+from procura.sources.requests import validate_requests
 
 c = F.col
 
@@ -20,7 +21,7 @@ def _quoted(spark, sf):
     demands = P.distinct_demands(items)
     selection = cut_lineage(P.select_offers(demands, offers))
     names = B.products(spark, sf).select("product_id", c("standard_name").alias("matched_name"))
-    quotes = P.quote_items(items, selection, offers).join(names, "product_id")
+    quotes = quotes_of(items, selection, offers).join(names, "product_id")
     return quotes, demands, selection, offers
 
 
@@ -118,7 +119,48 @@ def product_search(spark, sf):
     return browse.search_products(B.products(spark, sf), asked).select("query", c("rank").cast("long").alias("rank"), "product_id")
 
 
+def supplier_registration(spark, sf):
+    """Half of the names are taken (in other case), some name no sector."""
+    known = B.suppliers(spark, sf)
+    number = c("supplier_id").cast("long")
+    asked = known.select(
+        F.when(number % 2 == 0, F.upper("supplier_name")).otherwise(F.concat(F.lit(" Nuevo "), "supplier_name")).alias("supplier_name"),
+        F.when(number % 5 == 1, F.array().cast("array<string>")).otherwise(c("sectors")).alias("sectors"),
+    )
+    accepted, rejected = catalog.register_suppliers(known, asked)
+    return accepted.select("supplier_name", F.lit("").alias("reason")).unionByName(rejected.select("supplier_name", "reason"))
+
+
+def request_validation(spark, sf):
+    lines = B.table(spark, sf, "lineitem").select(
+        F.lit("c").alias("customer_name"),
+        F.when(c("l_orderkey") % 7 == 0, "OTRO").otherwise("ASEO").alias("sector"),
+        F.when(c("l_partkey") % 10 == 0, "").otherwise("x").alias("original_text"),
+        (c("l_quantity") - 5).cast("int").alias("requested_quantity"),
+    )
+    good, bad = validate_requests(lines)
+    both = good.select(F.lit("").alias("rejected_for")).unionByName(bad.select("rejected_for"))
+    return both.groupBy("rejected_for").agg(F.count(F.lit(1)).cast("long").alias("n"))
+
+
+def match_overlay(spark, sf):
+    """People confirm another product for some lines and refuse all for others."""
+    items = B.generic_items(spark, sf).withColumnRenamed("product_id", "matched_product_id").withColumn("match_confidence", F.lit(1.0))
+    number = c("request_id").cast("long") % 10
+    entry = lambda action, product, at: [F.lit(action).alias("action"), F.lit(product).cast("string").alias("product_id"), F.lit(at).alias("decided_at")]
+    log = (
+        items.where(number == 0).select("item_id", *entry("none", None, 1))
+        .unionByName(items.where(number == 0).select("item_id", *entry("confirm", "1", 2)))
+        .unionByName(items.where(number == 1).select("item_id", *entry("none", None, 1)))
+    )
+    d = decisions.apply_match_decisions(items, log, B.products(spark, sf))
+    return d.select("item_id", "match_status", F.coalesce("matched_product_id", F.lit("")).alias("product_id"), F.coalesce("generic_key", F.lit("")).alias("generic_key"))
+
+
 QUERIES = {
+    "supplier_registration": supplier_registration,
+    "request_validation": request_validation,
+    "match_overlay": match_overlay,
     "supplier_order_lines": supplier_order_lines,
     "order_summary": order_summary,
     "covered_lines": covered_lines,
@@ -134,6 +176,14 @@ _LABEL = """CASE availability WHEN 'OUT_OF_STOCK' THEN 'Sin existencias' WHEN 'U
   ELSE CASE WHEN stock_quantity IS NOT NULL THEN 'Disponible: ' || stock_quantity || ' unidades' ELSE 'Disponible' END END"""
 
 ORACLES = {
+    "supplier_registration": """SELECT CASE WHEN s_suppkey % 2 = 0 THEN upper(s_name) ELSE 'Nuevo ' || s_name END AS supplier_name,
+  CASE WHEN s_suppkey % 5 = 1 THEN 'Datos de proveedor inválidos.' WHEN s_suppkey % 2 = 0 THEN 'Ya existe un proveedor activo llamado "' || upper(s_name) || '".' ELSE '' END AS reason FROM supplier""",
+    "request_validation": """SELECT CASE WHEN l_orderkey % 7 = 0 THEN 'sector' WHEN l_partkey % 10 = 0 THEN 'text' WHEN l_quantity <= 5 THEN 'quantity' ELSE '' END AS rejected_for, count(*) AS n FROM lineitem GROUP BY 1""",
+    "match_overlay": views(PRODUCTS, ITEMS)
+    + """SELECT item_id, CASE WHEN CAST(request_id AS BIGINT) % 10 = 1 THEN 'NO_MATCH' ELSE 'MATCH' END AS match_status,
+  CASE CAST(request_id AS BIGINT) % 10 WHEN 0 THEN '1' WHEN 1 THEN '' ELSE i.product_id END AS product_id,
+  CASE CAST(request_id AS BIGINT) % 10 WHEN 0 THEN (SELECT generic_key FROM products WHERE product_id = '1') WHEN 1 THEN '' ELSE p.generic_key END AS generic_key
+FROM items i JOIN products p USING (product_id)""",
     "supplier_order_lines": QUOTED
     + f"""SELECT item_id, c_name AS client_name, supplier_name, standard_name AS product_name, {_LABEL} AS availability_label,
   CAST(warehouse_stock AS BIGINT) AS warehouse_covered, laboratory_id, 'x' || package_size || ' ' || presentation_unit AS presentation, packages,

@@ -6,21 +6,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from procura.operators import pricing as P
+from procura.operators.skew import hot_keys
 from procura.plans import bridge as B
 from procura.plans.oracle_views import (
     CURRENT, ENRICHED, ITEMS, LATEST, NET, OFFERS, PRICE_ROWS, PRICING, PRODUCTS, WAREHOUSE, views,
 )
+from procura.session import cut_lineage
 
 c = F.col
 
 
 def rich_offers(spark: SparkSession, sf: str) -> DataFrame:
-    current = P.current_offers(B.offers(spark, sf), B.files(spark, sf))
-    return P.enriched_offers(current, B.products(spark, sf), B.suppliers(spark, sf))
+    raw = B.price_rows(spark, sf)
+    by_supplier, by_product = hot_keys(raw.select("supplier_id"), ["supplier_id"]), hot_keys(raw.select("product_id"), ["product_id"])
+    current = P.current_offers(B.offers(spark, sf), B.files(spark, sf), hot_suppliers=by_supplier)
+    return P.enriched_offers(current, B.products(spark, sf), B.suppliers(spark, sf), by_product, by_supplier)
 
 
 def net_items(spark: SparkSession, sf: str) -> DataFrame:
-    return P.net_quantities(B.generic_items(spark, sf))
+    """Request lines net of own stock, written once: demands and quotes both read them."""
+    return cut_lineage(P.net_quantities(B.generic_items(spark, sf)))
+
+
+def quotes_of(items: DataFrame, selection: DataFrame, offers: DataFrame) -> DataFrame:
+    return P.quote_items(items, selection, offers, hot_keys(items.select(*P.DEMAND), P.DEMAND))
 
 
 def money(name: str, alias: str | None = None):
@@ -52,7 +61,7 @@ def net_quantity(spark, sf):
 def best_offer_per_item(spark, sf):
     items, offers = net_items(spark, sf), rich_offers(spark, sf)
     selection = P.select_offers(P.distinct_demands(items), offers)
-    return P.quote_items(items, selection, offers).select(
+    return quotes_of(items, selection, offers).select(
         "item_id",
         "status",
         F.coalesce("selected_offer_id", F.lit("")).alias("selected_offer_id"),
@@ -129,12 +138,12 @@ def unit_prices(spark, sf):
 def quote_reasons(spark, sf):
     items, offers = net_items(spark, sf), rich_offers(spark, sf)
     selection = P.select_offers(P.distinct_demands(items), offers)
-    return P.quote_items(items, selection, offers).select("item_id", "reason")
+    return quotes_of(items, selection, offers).select("item_id", "reason")
 
 
 def quote_totals(spark, sf):
     items, offers = net_items(spark, sf), rich_offers(spark, sf)
-    quotes = P.quote_items(items, P.select_offers(P.distinct_demands(items), offers), offers)
+    quotes = quotes_of(items, P.select_offers(P.distinct_demands(items), offers), offers)
     return P.request_totals(quotes).select("request_id", c("lines").cast("long").alias("lines"), money("total"), money("savings"))
 
 
