@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from procura.functions import vocab as V
-from procura.functions.once import add_once
+from procura.functions.once import add_once, spread
 from procura.functions.patterns import (
     first_word_of,
     fold_unit,
@@ -436,7 +436,7 @@ def extract_distinct(df: DataFrame, text_col: str, required_col: str, out: str =
     Lists repeat the same descriptions, and a parse costs far more than a shuffled row.
     """
     keyed = df.withColumn(text_col, F.coalesce(F.col(text_col), F.lit("")))
-    texts = keyed.select(text_col, required_col).distinct()
+    texts = spread(keyed.select(text_col, required_col).distinct())
     return keyed.join(extract_attributes(texts, text_col, F.col(required_col), out), [text_col, required_col], "left")
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from procura.functions import vocab as V
+from procura.functions.once import spread
 from procura.functions.text import (
     brand_of,
     generic_key_aliases,
@@ -247,7 +248,7 @@ def match_texts(
     candidate_id, reasons)` are optional outside tables; they widen or settle open cases
     and are checked against the catalogue.
     """
-    distinct = texts.select("text").distinct()
+    distinct = spread(texts.select("text").distinct())
     parsed = add_ingredient_guess(extract_attributes(distinct, "text", False), "text", "guess")
     asked = F.when(c("attrs")["presentation_specified"], c("attrs")["presentation_quantity"])
     parsed = parsed.withColumn("asked_size", asked)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from procura.functions.once import spread
 from procura.functions.text import generic_key_aliases, generic_key_from, ingredient_key, normalize_text, trim_text
 from procura.operators.extract import extract_attributes
 from procura.operators.match import expand_synonyms
@@ -21,7 +22,7 @@ def warehouse_snapshot(lines: DataFrame) -> DataFrame:
     per_text = named.groupBy("text").agg(
         F.sum(F.greatest(F.lit(0), F.coalesce(F.round("quantity"), F.lit(0)))).alias("quantity"), F.max("row_no").alias("row_no")
     )
-    parsed = extract_attributes(per_text, "text", False)
+    parsed = extract_attributes(spread(per_text), "text", False)
     key = F.coalesce(c("attrs")["generic_key"], normalize_text(c("text")))
     return (
         parsed.groupBy(key.alias("generic_key"))

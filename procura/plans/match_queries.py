@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from procura.functions import text as T
+from procura.functions.once import spread
 from procura.operators import match as M
 from procura.operators.extract import extract_attributes
 from procura.plans import bridge as B
@@ -41,7 +42,7 @@ def described_parts(spark, sf):
 
 def extract_attribute_rows(spark, sf):
     a = c("attrs")
-    return extract_attributes(described_parts(spark, sf), "text", True).select(
+    return extract_attributes(spread(described_parts(spark, sf)), "text", True).select(
         "id",
         *[a[f].alias(f) for f in ("active_ingredient", "concentration", "concentration_unit", "dosage_form")],
         *[a[f].alias(f) for f in ("presentation_type", "presentation_unit", "generic_key")],
@@ -153,7 +154,7 @@ def exact_match(spark, sf):
     other = F.concat_ws(" ", "active_ingredient", F.concat(c("concentration"), F.lit("000MCG")), "dosage_form")
     text = F.when(c("product_id").cast("long") % 3 == 0, other).otherwise(c("standard_name"))
     texts = p.select(text.alias("text"), F.lit(M.ANY_SECTOR).alias("sector")).distinct()
-    parsed = extract_attributes(texts, "text", False)
+    parsed = extract_attributes(spread(texts), "text", False)
     asked = F.when(c("attrs")["presentation_specified"], c("attrs")["presentation_quantity"])
     return M.exact_matches(parsed.withColumn("asked_size", asked), p).select("text", "product_id", "generic_key")
 
