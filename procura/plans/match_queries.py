@@ -9,7 +9,7 @@ from procura.functions.once import spread
 from procura.operators import match as M
 from procura.operators.extract import extract_attributes
 from procura.plans import bridge as B
-from procura.plans.oracle_views import CURRENT, LATEST, OFFERS, PRICE_ROWS, PRODUCTS, views
+from procura.plans.oracle_views import OFFERS, PRICE_ROWS, PRODUCTS, views
 
 c = F.col
 
