@@ -2,16 +2,31 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from procura.session import cut_lineage
+from procura.session import _ensure_checkpoint_dir
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def written(df: DataFrame) -> DataFrame:
+    """`df` as a Parquet table in the session's checkpoint folder, which all executors share.
+
+    Cuts lineage like a checkpoint; later readers prune columns and filter row groups. The
+    tables go with the checkpoint folder of the application.
+    """
+    spark = df.sparkSession
+    _ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected links (a, b) as (node, root): root is the smallest node.
 
@@ -36,6 +51,6 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _written(links: DataFrame) -> tuple[DataFrame, tuple]:
-    links = cut_lineage(links)
+    links = written(links)
     mark = links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("hi", "lo"))).first()
     return links, tuple(mark)

@@ -6,12 +6,13 @@ by k, gives coordinate k of the signature as its minimum. Bands of coordinates p
 candidates; a link counts only after the Jaccard similarity of the full sets was computed.
 
 Equal sets are collapsed to one node before banding, so copies never pair up. Within a
-bucket not all pairs are formed: in each round every member is compared with a few pivots
-of its bucket, links are contracted to components, and buckets that have become one
-component are done. Pivots are first the smallest node, then the member with most links,
-then the members outside the bucket's largest component; a pivot is retired once all
-others have met it. Rounds go on until no bucket holds two components whose members have
-not met, so every candidate pair is either compared or already connected.
+bucket not all pairs are formed. First every member is compared with the smallest node of
+its bucket; links are contracted to components, and buckets that have become one component
+are done. In the others every member
+is compared with the best linked node of the largest component, the pivot. Pairs of its
+members that could still link must share much of what tells them from the pivot; an exact
+prefix filter over those differences (`_close`) finds them, and they are compared too. So
+every candidate pair is compared, connected, or ruled out by a bound.
 
 Defined cases: null or empty text, or text without words, has an empty set, is linked with
 nothing and is its own component. A text of fewer words is one shingle. Rows with a null
@@ -31,9 +32,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from procura.llm.common import components
+from procura.llm.common import components, written
 from procura.llm.textcode import chunks, mix64, shingles, word_hashes
-from procura.session import cut_lineage
 
 ROWS_PER_BAND = 5
 MISS = 1e-7
@@ -113,17 +113,19 @@ def _sets(words: int):
 
 
 def _compare(similarity: float):
+    """Sizes, intersection and symmetric difference of the sets of each pair."""
     percent = round(similarity * 100)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            linked = []
-            for left, right in zip(batch["codes_a"], batch["codes_b"], strict=True):
-                small, large = sorted((np.frombuffer(left, np.uint64), np.frombuffer(right, np.uint64)), key=len)
-                at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                shared = int((large[at] == small).sum())
-                linked.append(100 * shared >= percent * (len(small) + len(large) - shared))
-            yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "linked": linked})
+            out = []
+            for a, b, left, right in zip(batch["a"], batch["b"], batch["codes_a"], batch["codes_b"], strict=True):
+                x, y = np.frombuffer(left, np.uint64), np.frombuffer(right, np.uint64)
+                diff = np.setxor1d(x, y, assume_unique=True)
+                shared = (len(x) + len(y) - len(diff)) // 2
+                linked = 100 * shared >= percent * (len(x) + len(y) - shared)
+                out.append((a, b, len(x), len(y), shared, linked, diff.view(np.int64)))
+            yield pd.DataFrame(out, columns=["a", "b", "n_a", "n_b", "shared", "linked", "diff"])
 
     return run
 
@@ -137,7 +139,7 @@ def near_duplicates(
     """
     bands = bands or bands_for(similarity, rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = cut_lineage(
+    signed = written(
         texts.mapInPandas(
             _sign(words, bands, rows), "doc_id long, n_shingles long, set_key binary, bands array<long>"
         )
@@ -145,15 +147,15 @@ def near_duplicates(
     distinct = signed.where("set_key is not null").groupBy("set_key").agg(
         F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")
     )
-    nodes = cut_lineage(distinct.withColumn("node", F.monotonically_increasing_id()))
+    nodes = written(distinct.withColumn("node", F.monotonically_increasing_id()))
 
     members = nodes.select("node", "n", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("bucket")
-    members = cut_lineage(members.join(shared, "bucket"))
+    members = written(members.join(shared, "bucket"))
 
     wanted = members.select("node").distinct().join(nodes.select("node", "doc_id", "set_key"), "node")
     found = texts.alias("t").join(wanted.alias("w"), F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")))
-    sets = cut_lineage(
+    sets = written(
         found.select("node", "set_key", "text").mapInPandas(_sets(words), "node long, codes binary").dropDuplicates(["node"])
     )
     labels = _link(members, sets, similarity)
@@ -172,56 +174,99 @@ def near_duplicates(
 
 
 def _link(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(node, label): equal labels for nodes that verified links connect; nodes without a link may be missing."""
+    """(node, label): equal labels for nodes that verified links connect; nodes without a bucket are missing."""
+    nothing = F.col("node").alias("label"), F.lit(0).alias("links")
+    labels = written(members.select("node").distinct().select("node", *nothing))
+
+    # every member against its bucket's smallest node
+    active = members.join(labels, "node")
+    pivots = active.groupBy("bucket").agg(F.min(F.struct("node", "label")).alias("p")).select("bucket", "p.*")
+    members, labels = _star(active, pivots, sets, labels, similarity)
+
+    # what lies outside the largest part of its bucket against the best linked of those
+    active = written(_unsettled(members.join(labels, "node")))
+    parts = active.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("m"))
+    largest = parts.groupBy("bucket").agg(F.max(F.struct("m", "label")).alias("largest"))
+    outside = active.join(largest, "bucket").where("label <> largest.label")
+    pivots = outside.groupBy("bucket").agg(F.max_by(F.struct("node", "label"), F.struct("links", "node")).alias("p"))
+    members, labels = _star(active, pivots.select("bucket", "p.*"), sets, labels, similarity)
+
+    # every member of a bucket still in several parts against the best linked node of its largest component
+    hubs = labels.groupBy("label").agg(
+        F.count(F.lit(1)).alias("size"), F.max_by("node", F.struct("links", -F.col("node"))).alias("hub")
+    )
+    active = _unsettled(members.join(labels, "node")).join(hubs, "label")
+    pivots = active.groupBy("bucket").agg(F.max(F.struct("size", -F.col("n"), "hub")).alias("p")).select("bucket", "p.hub")
+    pairs = active.join(pivots.withColumnRenamed("hub", "a"), "bucket").select("a", F.col("node").alias("b")).distinct()
+    group = _compared(pairs, sets, similarity)
+    labels = _contract(labels, group.where("linked and a <> b"))
+    close = _close(group.join(labels.select(F.col("node").alias("b"), "label"), "b"), similarity)
+    return _contract(labels, _compared(close, sets, similarity).where("linked"))
+
+
+def _unsettled(active: DataFrame) -> DataFrame:
+    """The members of buckets that hold more than one label."""
+    parted = active.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    return active.join(parted.select("bucket"), "bucket")
+
+
+def _star(active: DataFrame, pivots: DataFrame, sets: DataFrame, labels: DataFrame, similarity: float):
+    """Compare each member with its bucket's pivots (bucket, node, label) of other labels; pivots then leave the buckets."""
     percent = round(similarity * 100)
-    labels = cut_lineage(members.select("node").distinct().select("node", F.col("node").alias("label"), F.lit(0).alias("links")))
-    met = None
-    turn = 0
-    while True:
-        turn += 1
-        sized = labels.join(labels.groupBy("label").agg(F.count(F.lit(1)).alias("size")), "label")
-        active = cut_lineage(members.join(sized, "node"))
-        state = active.groupBy("bucket").agg(
-            F.min("label").alias("low"), F.max("label").alias("high"), F.max(F.struct("size", "label")).alias("largest")
-        ).where("low < high")
-        if turn <= 2:
-            rank = F.struct(F.col("links"), -F.col("node")) if turn == 2 else F.struct(-F.col("node"))
-            pivots = active.groupBy("bucket").agg(F.max_by(F.struct("node", "n", "label"), rank).alias("p"))
-            pivots = state.select("bucket").join(pivots, "bucket").select("bucket", "p.*")
-        else:
-            # members outside the largest component, one for each of 4, 16, 64 ... hash classes
-            outside = active.join(state.select("bucket", "largest"), "bucket").where("label <> largest.label")
-            slot = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(4 ** (turn - 2)))
-            pivots = outside.groupBy("bucket", slot.alias("slot")).agg(F.min(F.struct("node", "n", "label")).alias("p"))
-            pivots = pivots.select("bucket", "p.*")
-        pivots = cut_lineage(pivots)
-        if pivots.isEmpty():
-            return labels
-        p = pivots.select("bucket", *(F.col(c).alias(f"p_{c}") for c in ("node", "n", "label")))
-        pairs = (
-            active.join(p, "bucket")
-            .where("label <> p_label")
-            .where(f"100 * least(n, p_n) >= {percent} * greatest(n, p_n)")
-            .select(F.col("p_node").alias("a"), F.col("node").alias("b"))
-            .distinct()
-        )
-        if met is not None:
-            seen = met.select("a", "b").unionAll(met.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        if turn > 2:
-            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        compared = cut_lineage(
-            pairs.join(sets.select(F.col("node").alias("b"), F.col("codes").alias("codes_b")), "b")
-            .join(sets.select(F.col("node").alias("a"), F.col("codes").alias("codes_a")), "a")
-            .mapInPandas(_compare(similarity), "a long, b long, linked boolean")
-        )
-        met = compared if met is None else met.unionAll(compared)
-        members = cut_lineage(
-            active.join(state.select("bucket"), "bucket")
-            .join(pivots.select("bucket", "node"), ["bucket", "node"], "left_anti")
-            .select("bucket", "node", "n")
+    pivots = written(pivots)
+    p = pivots.join(active.select("bucket", "node", F.col("n").alias("p_n")), ["bucket", "node"])
+    p = p.select("bucket", F.col("node").alias("pivot"), F.col("label").alias("p_label"), "p_n")
+    pairs = active.join(p, "bucket").where("label <> p_label").where(f"100 * least(n, p_n) >= {percent} * greatest(n, p_n)")
+    pairs = pairs.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
+    labels = _contract(labels, _compared(pairs, sets, similarity).where("linked"))
+    return active.join(pivots, ["bucket", "node"], "left_anti").select("bucket", "node", "n"), labels
+
+
+def _close(group: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of members of one pivot, with different labels, that could still link.
+
+    With m codes of the pivot missing in a member and r codes added, let e be
+    (1 - share) * m + share * r for share = similarity / (1 + similarity). Two members link
+    only if their differences from the pivot have at least e1 + e2 - (1 - 2 * share) * size
+    codes in common, size being the pivot's. One of the two is not linked with the pivot,
+    so that number is positive, and a prefix filter with positions finds the pairs: in an
+    order by rarity the first common code must leave room for the others.
+    """
+    share = similarity / (1 + similarity)
+    e = (1 - share) * (F.col("n_a") - F.col("shared")) + share * (F.col("n_b") - F.col("shared"))
+    room = (1 - 2 * share) * F.col("n_a")
+    member = group.where("a <> b").select(
+        "a", "b", "label", "linked", "diff", F.size("diff").alias("d"), (e - 1e-9).alias("e"), room.alias("room")
+    )
+    codes = member.select("a", "b", F.explode("diff").alias("code"))
+    rarity = codes.groupBy("a", "code").agg(F.count(F.lit(1)).alias("uses"))
+    order = codes.join(rarity, ["a", "code"]).groupBy("a", "b").agg(
+        F.array_sort(F.collect_list(F.struct("uses", "code"))).alias("order")
+    )
+    needed = F.greatest(F.lit(1), F.ceil(F.when(F.col("linked"), F.col("e")).otherwise(F.col("e") - F.col("room"))))
+    entries = (
+        member.drop("diff")
+        .join(order, ["a", "b"])
+        .select("a", "b", "label", "linked", "e", "room", "d", needed.alias("needed"), F.posexplode("order").alias("at", "code"))
+        .where("at <= d - needed and code.uses > 1")
+        .select("a", F.col("code.code").alias("code"), "b", "label", "linked", "e", "room", (F.col("d") - F.col("at")).alias("left"))
+    )
+    entries = written(entries)
+    other = entries.select("a", "code", *(F.col(c).alias(f"o_{c}") for c in ("b", "label", "linked", "e", "left")))
+    pairs = entries.where("not linked").join(other, ["a", "code"]).where(
+        "label <> o_label and (o_linked or b < o_b) and least(left, o_left) >= e + o_e - room"
+    )
+    return pairs.select(F.least("b", "o_b").alias("a"), F.greatest("b", "o_b").alias("b")).distinct()
+
+
+def _compared(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    left = sets.select(F.col("node").alias("a"), F.col("codes").alias("codes_a"))
+    right = sets.select(F.col("node").alias("b"), F.col("codes").alias("codes_b"))
+    return written(
+        pairs.join(right, "b").join(left, "a").mapInPandas(
+            _compare(similarity), "a long, b long, n_a long, n_b long, shared long, linked boolean, diff array<long>"
         )
-        labels = _contract(labels, compared.where("linked"))
+    )
 
 
 def _contract(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -231,7 +276,7 @@ def _contract(labels: DataFrame, links: DataFrame) -> DataFrame:
     label = labels.select("node", "label")
     between = links.join(label.toDF("a", "la"), "a").join(label.toDF("b", "lb"), "b")
     roots = components(between.select(F.col("la").alias("a"), F.col("lb").alias("b")))
-    return cut_lineage(
+    return written(
         labels.join(degree.withColumnRenamed("a", "node"), "node", "left")
         .join(roots.withColumnRenamed("node", "label"), "label", "left")
         .select(
