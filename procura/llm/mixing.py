@@ -35,6 +35,7 @@ FIT_DOCS = 4000
 BUCKETS = 1 << 14
 SIGNIFICANT = 4.0
 STEPS = 25
+RIDGE = 1e-3
 CLOSE = 1e-4
 
 
@@ -141,7 +142,7 @@ def fit_rates(scored: DataFrame, targets: dict[str, float] | None = None, budget
     size, steps = 1.0, 0
     while steps < STEPS and distance > CLOSE**2 * max(budget, 1.0) and size > 1 / 64:
         steps += 1
-        ridge = 1e-9 * np.trace(metric) * np.eye(len(used))
+        ridge = RIDGE * np.trace(metric) * np.eye(len(used))
         step = np.linalg.lstsq(metric + ridge, off, rcond=None)[0] * size
         moved = sum((F.col(f"p_{d}") * F.lit(float(x)) for d, x in zip(used, step)), start=F.lit(0.0))
         trial = F.greatest(F.lit(0.0), rate - moved)

@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -269,13 +270,22 @@ def test_pii(spark, empty):
 
 
 def test_mixing(spark, empty):
-    docs, labels = (spark.read.parquet(f"{SF}/{n}.parquet") for n in ("documents", "labels"))
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
     out = mixing.mixed(docs, labels, {"high": 0.5, "low": 0.4, "toxic": 0.1}).collect()
     assert len(out) == docs.count() and all(r.rate >= 0 for r in out)
     assert all(abs(r.p_high + r.p_low + r.p_toxic - 1) < 1e-9 for r in out)
-    have = {d: sum(r.rate * r.tokens * r[f"p_{d}"] for r in out) for d in mixing.DOMAINS}
-    total = sum(have.values())
-    assert [round(have[d] / total, 2) for d in mixing.DOMAINS] == pytest.approx([0.5, 0.4, 0.1], abs=0.03)
+    t = np.array([r.tokens for r in out], dtype=float)
+    p = np.array([[r[f"p_{d}"] for d in mixing.DOMAINS] for r in out])
+    mass = t @ p
+    goal = mixing.HEADROOM * mass[0] / 0.5 * np.array([0.5, 0.4, 0.1])
+
+    def distance(rate):
+        return (((rate * t) @ p - goal) ** 2 / mass).sum()
+
+    rate = np.ones(len(out))
+    for _ in range(20000):
+        rate = np.maximum(0, rate - p @ (((rate * t) @ p - goal) / mass))
+    assert distance(np.array([r.rate for r in out])) <= distance(rate) * 1.05 + 1e-4 * goal.sum()
     assert mixing.mixed(empty, labels).count() == 0
     odd = spark.createDataFrame([row(1, None), row(2, ""), row(2, "")], SCHEMA)
     assert mixing.mixed(odd, labels.limit(0)).count() == 3
