@@ -5,8 +5,8 @@ domains high, low and toxic. Document rates start at 1 and follow projected grad
 on the weighted least squares distance between expected domain tokens,
 sum of rate * tokens * posterior, and their targets; negative rates are set to 0. The
 gradient is taken in the metric of the domains' shared token mass in documents still in use,
-so few steps do; a step that does not lessen the distance is halved. Steps end at a distance
-of CLOSE, or after STEPS of them. Each step sends one number per pair of domains to the
+so few steps do; where that does not lessen the distance, the plain gradient is used. Steps
+end at a distance of CLOSE, when they gain little, or after STEPS of them. Each step sends one number per pair of domains to the
 driver; rates are column expressions over one written table of posteriors.
 
 The classifier is fitted on at most `fit_docs` labelled documents, those with the smallest
@@ -36,6 +36,7 @@ BUCKETS = 1 << 14
 SIGNIFICANT = 4.0
 STEPS = 25
 RIDGE = 1e-3
+SLOW = 1e-4
 CLOSE = 1e-4
 
 
@@ -139,19 +140,23 @@ def fit_rates(scored: DataFrame, targets: dict[str, float] | None = None, budget
     if not used:
         return rate
     distance, off, metric = measure(rate)
-    size, steps = 1.0, 0
-    while steps < STEPS and distance > CLOSE**2 * max(budget, 1.0) and size > 1 / 64:
-        steps += 1
+    scale = np.array([mass[d] for d in used])
+    for _ in range(STEPS):
+        if distance <= CLOSE**2 * max(budget, 1.0):
+            break
         ridge = RIDGE * np.trace(metric) * np.eye(len(used))
-        step = np.linalg.lstsq(metric + ridge, off, rcond=None)[0] * size
-        moved = sum((F.col(f"p_{d}") * F.lit(float(x)) for d, x in zip(used, step)), start=F.lit(0.0))
-        trial = F.greatest(F.lit(0.0), rate - moved)
-        found = measure(trial)
-        if found[0] < distance * (1 - 1e-6):
-            rate, size = trial, 1.0
-            distance, off, metric = found
-        else:
-            size /= 2
+        for step in (np.linalg.lstsq(metric + ridge, off, rcond=None)[0], off / scale):  # the plain step always helps
+            moved = sum((F.col(f"p_{d}") * F.lit(float(x)) for d, x in zip(used, step)), start=F.lit(0.0))
+            trial = F.greatest(F.lit(0.0), rate - moved)
+            found = measure(trial)
+            if found[0] < distance:
+                break
+        gain = distance - found[0]
+        if gain <= 0:
+            break
+        rate, (distance, off, metric) = trial, found
+        if gain < SLOW * distance:
+            break
     return rate
 
 
