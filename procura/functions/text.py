@@ -89,7 +89,7 @@ def half_up(c: Column, digits: int) -> Column:
 
 def number_text(c: Column, digits: int = 6) -> Column:
     """Shortest decimal spelling of an already rounded double: 10.0 -> 10, 0.50 -> 0.5."""
-    return F.regexp_replace(c.cast(f"decimal(30,{digits})").cast("string"), r"\.?0+$", "") if digits else c.cast("decimal(30,0)").cast("string")
+    return F.regexp_replace(c.try_cast(f"decimal(30,{digits})").cast("string"), r"\.?0+$", "") if digits else c.try_cast("decimal(30,0)").cast("string")
 
 
 # Steps between mass units: (unit, other unit, factor).

@@ -18,7 +18,7 @@ NONE_NOTE = (
 
 
 def _last(log: DataFrame, *fields: str) -> DataFrame:
-    return log.groupBy("item_id").agg(F.max_by(F.struct(*fields), "decided_at").alias("l")).select("item_id", "l.*")
+    return log.groupBy("item_id").agg(F.max_by(F.struct(*fields), F.struct("decided_at", *fields)).alias("l")).select("item_id", "l.*")
 
 
 def apply_match_decisions(items: DataFrame, log: DataFrame, products: DataFrame) -> DataFrame:
@@ -28,8 +28,9 @@ def apply_match_decisions(items: DataFrame, log: DataFrame, products: DataFrame)
     price.
     """
     known = products.select("product_id", c("generic_key").alias("l_generic"), c("standard_name").alias("l_name"))
-    last = _last(log, "action", "product_id").join(known, "product_id", "left")
-    last = last.where((c("action") == "none") | c("l_generic").isNotNull()).withColumnRenamed("product_id", "l_product")
+    # only valid entries compete to be the last one
+    valid = log.join(known, "product_id", "left").where((c("action") == "none") | c("l_generic").isNotNull())
+    last = _last(valid, "action", "product_id", "l_generic", "l_name").withColumnRenamed("product_id", "l_product")
     d = items.join(last, "item_id", "left")
     confirmed, refused = c("action") == "confirm", c("action") == "none"
     pick = lambda yes, no, old: F.when(confirmed, yes).when(refused, no).otherwise(c(old)).alias(old)

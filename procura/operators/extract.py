@@ -417,7 +417,7 @@ def extract_attributes(
         ident["unit"].alias("concentration_unit"),
         c("_dosage_form").alias("dosage_form"),
         F.coalesce(packaging, F.lit("Caja")).alias("presentation_type"),
-        quantity.cast("int").alias("presentation_quantity"),
+        quantity.try_cast("int").alias("presentation_quantity"),
         pack_unit.alias("presentation_unit"),
     ]
     fields += [

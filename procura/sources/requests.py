@@ -97,7 +97,7 @@ def request_lines(grid: DataFrame, columns: DataFrame, default_quantity: int = 1
     d = grid.join(columns, "file_id").where(c("row_no") > F.coalesce("header_row", F.lit(-1)))
     qty = F.get(c("cells"), c("quantity_column"))
     number = F.coalesce(qty["n"], F.trim(qty["s"]).try_cast("double"))
-    rounded = F.floor(number + 0.5).cast("int")
+    rounded = F.floor(number + 0.5).try_cast("int")
     at_least = F.lit(default_quantity)
     client = F.nullif(trim_text(cell_text(F.get(c("cells"), c("client_column")))), F.lit(""))
     return d.select(
@@ -128,7 +128,7 @@ def parse_pasted(lines: Column) -> Column:
         .when(trailing, F.regexp_extract(lines, TRAILING, 2))
         .otherwise(F.lit("1"))
     )
-    return F.struct(text.alias("text"), quantity.cast("decimal(38,0)").alias("quantity"))
+    return F.struct(text.alias("text"), quantity.try_cast("decimal(38,0)").alias("quantity"))
 
 
 def pasted_lines(df: DataFrame, text_col: str) -> DataFrame:
