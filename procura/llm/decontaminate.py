@@ -204,7 +204,7 @@ def match_benchmark(
     columns with one of these names are replaced.
     """
     spark = docs.sparkSession
-    named = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null and text is not null")
+    named = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null and text is not null").distinct()
     letters = named.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(letters / 6 / block_words))
     named = named.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))

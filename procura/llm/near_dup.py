@@ -173,6 +173,24 @@ def near_duplicates(
     )
 
 
+def one_of_each(docs: DataFrame, **how) -> DataFrame:
+    """The rows of `docs` with one of each component: smallest doc_id, nulls last. Same columns.
+
+    Rows are numbered first, so null and repeated ids neither lose nor merge different texts.
+    Rows without words stay, each on its own.
+    """
+    row = "_row"
+    while row in docs.columns:
+        row += "_"
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()))
+    found = near_duplicates(numbered.select(F.col(row).alias("doc_id"), "text"), **how)
+    ids = numbered.select(row, F.col("doc_id").alias("id"))
+    members = found.select(F.col("doc_id").alias(row), F.col("component_id").alias("component")).join(ids, row)
+    first = F.struct(F.col("id").isNull(), F.col("id"), F.col(row))
+    chosen = members.groupBy("component").agg(F.min_by(row, first).alias(row)).select(row)
+    return numbered.join(chosen, row, "left_semi").select(*docs.columns)
+
+
 def _link(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """(node, label): equal labels for nodes that verified links connect; nodes without a bucket are missing."""
     nothing = F.col("node").alias("label"), F.lit(0).alias("links")

@@ -75,6 +75,20 @@ def test_near_duplicates(docs, rows, empty):
     assert near_dup.near_duplicates(empty).count() == 0
 
 
+def test_one_of_each_component_stays(spark, docs, empty):
+    base = " ".join(f"v{i}" for i in range(60))
+    other = " ".join(f"u{i}" for i in range(60))
+    texts = [(9, base), (4, base + " tail"), (None, base), (4, other), (None, other + " tail"), (None, "alone of no id"), (7, None), (7, None), (8, "")]
+    small = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(texts)], "doc_id long, text string, _row int")
+    kept = near_dup.one_of_each(small)
+    assert kept.columns == small.columns
+    assert sorted(r._row for r in kept.collect()) == [1, 3, 5, 6, 7, 8]
+    ids = sorted(r.doc_id for r in near_dup.one_of_each(docs, words=3, similarity=0.85).collect() if r.doc_id is not None)
+    wanted = near_dup.near_duplicates(docs, 3, 0.85).where("kept and doc_id is not null").select("doc_id").distinct()
+    assert ids == sorted(r.doc_id for r in wanted.collect())
+    assert near_dup.one_of_each(empty).collect() == []
+
+
 def test_signature_estimates_similarity():
     import numpy as np
 
