@@ -17,9 +17,8 @@ def keep_known_languages(spark, docs, sf_dir):
 
 
 def keep_one_of_near_copies(spark, docs, sf_dir):
-    """The document with the smallest doc_id of each near-duplicate component stays."""
-    marks = near_dup.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(marks, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    """One document of each near-duplicate component stays, that of the smallest doc_id (nulls last)."""
+    return near_dup.one_of_each(docs)
 
 
 def remove_benchmark(spark, docs, sf_dir):
