@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from procura.llm.common import written
+
 WINDOW = 13
 PERCENT = 5
 BLOCK_WORDS = 1_000_000
@@ -175,26 +177,25 @@ def _merge(spans: list[list[int]]) -> list[list[int]]:
     return out
 
 
-def _stream(held):
+def _stream(held, cut: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         automaton = held.value
         for batch in batches:
-            spans, items = [], []
-            for text, had, names in zip(batch["_text"], batch["spans"], batch["items"], strict=True):
-                found, owners = automaton.match(words_of(text))
-                had = [list(map(int, s)) for s in had]
-                spans.append(_merge(had + found) if had else found)
+            texts, sizes, spans, items = [], [], [], []
+            for text, had, names in zip(batch["text"], batch["spans"], batch["items"], strict=True):
+                words = words_of(text)
+                found, owners = automaton.match(words)
+                if len(had):
+                    found = _merge([list(map(int, s)) for s in had] + found)
+                sizes.append(len(words))
+                spans.append(found)
                 items.append(sorted({*names, *owners}))
-            yield batch.assign(spans=spans, items=items)
+                texts.append(cut_spans(text, found) if cut and found else text)
+            yield batch.assign(text=texts, n_words=sizes, spans=spans, items=items)
 
     return run
 
 
-def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        yield batch.assign(n_words=[len(words_of(t)) for t in batch["_text"]])
-
-
 def match_benchmark(
     docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, percent: int = PERCENT, block_words: int = BLOCK_WORDS
 ) -> DataFrame:
@@ -203,24 +204,30 @@ def match_benchmark(
     spans: arrays [first word, end word) of hit words; items: sorted ids as strings. Input
     columns with one of these names are replaced.
     """
+    return _matched(docs, benchmark, window, percent, block_words, cut=False)
+
+
+def _matched(docs: DataFrame, benchmark: DataFrame, window: int, percent: int, block_words: int, cut: bool) -> DataFrame:
     spark = docs.sparkSession
-    named = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null and text is not null").distinct()
+    named = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
+    named = named.where("item_id is not null and text is not null").distinct()
     letters = named.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(letters / 6 / block_words))
     named = named.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
-    new = ("n_words", "n_hit", "spans", "items", "contaminated", "_text")
-    kept = [c for c in docs.columns if c not in new]
+    kept = [c for c in docs.columns if c not in ("n_words", "n_hit", "spans", "items", "contaminated")]
     out = docs.select(
         *kept,
-        F.col("text").alias("_text"),
+        F.lit(0).cast("long").alias("n_words"),
         F.array().cast("array<array<int>>").alias("spans"),
         F.array().cast("array<string>").alias("items"),
     )
     for block in range(blocks):
         rows = named.where(F.col("block") == block).select("item_id", "text").collect()
         automaton = ItemAutomaton(sorted((r.item_id, words_of(r.text)) for r in rows), window)
-        out = out.mapInPandas(_stream(spark.sparkContext.broadcast(automaton)), out.schema)
-    out = out.mapInPandas(_count, out.select("*", F.lit(0).cast("long").alias("n_words")).schema)
+        if block:  # one automaton in a task's memory at a time
+            out = written(out)
+        last = block == blocks - 1
+        out = out.mapInPandas(_stream(spark.sparkContext.broadcast(automaton), cut and last), out.schema)
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
     return (
         out.withColumn("n_hit", hit)
@@ -239,16 +246,12 @@ def cut_spans(text: str, spans: list[list[int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def _without_spans(text: pd.Series, spans: pd.Series) -> pd.Series:
-    return pd.Series([cut_spans(t, s) if t is not None and len(s) else t for t, s in zip(text, spans, strict=True)])
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **limits) -> DataFrame:
+def decontaminate(
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, percent: int = PERCENT, block_words: int = BLOCK_WORDS
+) -> DataFrame:
     """`docs` without contaminated rows; of the others, hit spans are cut out of the text. Same columns."""
-    without_spans = F.pandas_udf(_without_spans, "string")
-    matched = match_benchmark(docs, benchmark, **limits).where("not contaminated")
-    text = F.when(F.size("spans") > 0, without_spans("text", "spans")).otherwise(F.col("text"))
-    out = matched.withColumn("text", text)
+    out = _matched(docs, benchmark, window, percent, block_words, cut=True).where("not contaminated")
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text")).otherwise(F.col("n_chars")))
+        size = F.length("text").cast(docs.schema["n_chars"].dataType)
+        out = out.withColumn("n_chars", F.when(F.size("spans") > 0, size).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
