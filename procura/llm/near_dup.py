@@ -39,6 +39,7 @@ ROWS_PER_BAND = 5
 MISS = 1e-7
 _SCATTER = np.uint64(0xA0761D6478BD642F)
 _BLOCK = 2048
+_PAIRS = 512
 
 
 def bands_for(similarity: float, rows: int = ROWS_PER_BAND, miss: float = MISS) -> int:
@@ -112,20 +113,21 @@ def _sets(words: int):
     return run
 
 
-def _compare(similarity: float):
-    """Sizes, intersection and symmetric difference of the sets of each pair."""
+def _compare(similarity: float, differences: bool):
+    """Sizes, intersection and, where asked for, symmetric difference of the sets of each pair."""
     percent = round(similarity * 100)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for a, b, left, right in zip(batch["a"], batch["b"], batch["codes_a"], batch["codes_b"], strict=True):
-                x, y = np.frombuffer(left, np.uint64), np.frombuffer(right, np.uint64)
-                diff = np.setxor1d(x, y, assume_unique=True)
-                shared = (len(x) + len(y) - len(diff)) // 2
-                linked = 100 * shared >= percent * (len(x) + len(y) - shared)
-                out.append((a, b, len(x), len(y), shared, linked, diff.view(np.int64)))
-            yield pd.DataFrame(out, columns=["a", "b", "n_a", "n_b", "shared", "linked", "diff"])
+            for at in range(0, len(batch), _PAIRS):
+                part, out = batch.iloc[at : at + _PAIRS], []
+                for a, b, left, right in zip(part["a"], part["b"], part["codes_a"], part["codes_b"], strict=True):
+                    x, y = np.frombuffer(left, np.uint64), np.frombuffer(right, np.uint64)
+                    diff = np.setxor1d(x, y, assume_unique=True)
+                    shared = (len(x) + len(y) - len(diff)) // 2
+                    linked = 100 * shared >= percent * (len(x) + len(y) - shared)
+                    out.append((a, b, len(x), len(y), shared, linked, diff.view(np.int64) if differences else None))
+                yield pd.DataFrame(out, columns=["a", "b", "n_a", "n_b", "shared", "linked", "diff"])
 
     return run
 
@@ -216,7 +218,7 @@ def _link(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     active = _unsettled(members.join(labels, "node")).join(hubs, "label")
     pivots = active.groupBy("bucket").agg(F.max(F.struct("size", -F.col("n"), "hub")).alias("p")).select("bucket", "p.hub")
     pairs = active.join(pivots.withColumnRenamed("hub", "a"), "bucket").select("a", F.col("node").alias("b")).distinct()
-    group = _compared(pairs, sets, similarity)
+    group = _compared(pairs, sets, similarity, differences=True)
     labels = _contract(labels, group.where("linked and a <> b"))
     close = _close(group.join(labels.select(F.col("node").alias("b"), "label"), "b"), similarity)
     return _contract(labels, _compared(close, sets, similarity).where("linked"))
@@ -277,12 +279,12 @@ def _close(group: DataFrame, similarity: float) -> DataFrame:
     return pairs.select(F.least("b", "o_b").alias("a"), F.greatest("b", "o_b").alias("b")).distinct()
 
 
-def _compared(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def _compared(pairs: DataFrame, sets: DataFrame, similarity: float, differences: bool = False) -> DataFrame:
     left = sets.select(F.col("node").alias("a"), F.col("codes").alias("codes_a"))
     right = sets.select(F.col("node").alias("b"), F.col("codes").alias("codes_b"))
     return written(
         pairs.join(right, "b").join(left, "a").mapInPandas(
-            _compare(similarity), "a long, b long, n_a long, n_b long, shared long, linked boolean, diff array<long>"
+            _compare(similarity, differences), "a long, b long, n_a long, n_b long, shared long, linked boolean, diff array<long>"
         )
     )
 
