@@ -143,47 +143,54 @@ def learn(docs: DataFrame, fit_docs: int = FIT_DOCS, max_states: int = MAX_STATE
     return ContextTrees(found, max_states) if found else None
 
 
-def _predict(held):
+def _predict(held, kept: list[str]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         trees = held.value
         langs = np.array(trees.langs, dtype=object)
         for batch in batches:
             names, scores, lengths = [], [], []
-            for _, _, encoded in chunks(batch["_text"].tolist()):
+            for _, _, encoded in chunks(batch["text"].tolist()):
                 bits = trees.code_lengths(encoded)
                 names += langs[bits.argmin(axis=1)].tolist()
                 least = bits.min(axis=1)
                 scores += (1 / np.exp2(-(bits - least[:, None]).clip(0, 1000)).sum(axis=1)).tolist()
                 lengths += least.tolist()
-            yield batch.drop(columns="_text").assign(lang_pred=names, score=scores, code_bits=lengths)
+            yield batch[kept].assign(lang_pred=names, score=scores, code_bits=lengths)
 
     return run
 
 
-def identify(docs: DataFrame, trees: ContextTrees | None) -> DataFrame:
-    """`docs` with lang_pred, score and code_bits (of the chosen language); same-named columns are replaced."""
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score", "code_bits", "_text")]
+def identify(docs: DataFrame, trees: ContextTrees | None, keep: list[str] | None = None) -> DataFrame:
+    """`docs` with lang_pred, score and code_bits (of the chosen language); same-named columns are replaced.
+
+    With `keep`, only these columns of `docs` come back.
+    """
+    kept = [c for c in keep or docs.columns if c not in ("lang_pred", "score", "code_bits")]
+    mark = "_lettered"
+    while mark in docs.columns:
+        mark += "_"
     lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     if trees is None:
         none = F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("code_bits")
         return docs.select(*kept, *none)
-    rows = docs.select(*kept, F.when(lettered, F.col("text")).alias("_text"), lettered.alias("_lettered"))
-    schema = rows.drop("_text").schema
+    rows = docs.select(*dict.fromkeys([*kept, "text"]), lettered.alias(mark))
+    back = [*kept, mark]
+    schema = rows.select(*back).schema
     for name in ("lang_pred", "score", "code_bits"):
         schema = schema.add(name, "string" if name == "lang_pred" else "double")
-    out = rows.mapInPandas(_predict(docs.sparkSession.sparkContext.broadcast(trees)), schema)
+    out = rows.mapInPandas(_predict(docs.sparkSession.sparkContext.broadcast(trees), back), schema)
     return out.select(
         *kept,
-        F.when(F.col("_lettered"), F.col("lang_pred")).otherwise(UNKNOWN).alias("lang_pred"),
-        F.when(F.col("_lettered"), F.col("score")).otherwise(0.0).alias("score"),
-        F.when(F.col("_lettered"), F.col("code_bits")).otherwise(0.0).alias("code_bits"),
+        F.when(F.col(mark), F.col("lang_pred")).otherwise(UNKNOWN).alias("lang_pred"),
+        F.when(F.col(mark), F.col("score")).otherwise(0.0).alias("score"),
+        F.when(F.col(mark), F.col("code_bits")).otherwise(0.0).alias("code_bits"),
     )
 
 
 def predictions(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every row of `docs` (doc_id, text, lang)."""
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
-    found = identify(docs.select("doc_id", "text"), learn(docs))
+    found = identify(docs.select("doc_id", "text"), learn(docs), keep=["doc_id"])
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
