@@ -30,27 +30,29 @@ def written(df: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected links (a, b) as (node, root): root is the smallest node.
 
-    Alternating large-star and small-star steps until the links no longer change. Every
-    step is a grouped minimum and a join over the links, written to the checkpoint
-    folder, so no component has to fit anywhere. Roots are not listed themselves.
+    Alternating large-star and small-star steps until every node has one link, to a node
+    that has none. Every step is a grouped minimum and a join over the links, written to the
+    checkpoint folder, so no component has to fit anywhere. Roots are not listed themselves.
     """
-    links = edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
-    links, mark = _written(links)
-    while True:
+    links = edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
+    links = written(links.distinct())
+    while not _all_stars(links):
         both = links.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionAll(
             links.select(F.col("lo").alias("u"), F.col("hi").alias("v"))
         )
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+        # no more rows than links; repeated ones go at the end of the small step
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
         nearest = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(nearest, "hi").select(F.explode(F.array("hi", "lo")).alias("hi"), F.col("m").alias("lo"))
-        links, new_mark = _written(small.where("hi <> lo").distinct())
-        if new_mark == mark:
-            return links.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
-        mark = new_mark
+        links = written(small.where("hi <> lo").distinct())
+    return links.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
 
 
-def _written(links: DataFrame) -> tuple[DataFrame, tuple]:
-    links = written(links)
-    mark = links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("hi", "lo"))).first()
-    return links, tuple(mark)
+def _all_stars(links: DataFrame) -> bool:
+    """Whether each `hi` has one link only and is no other node's `lo`."""
+    ends = links.select(F.col("hi").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("root")).unionAll(
+        links.select(F.col("lo").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("root"))
+    )
+    nodes = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("root").alias("root"))
+    return nodes.where("up + root > 1").isEmpty()
