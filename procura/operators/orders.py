@@ -17,8 +17,8 @@ def _with_client(items: DataFrame, requests: DataFrame) -> DataFrame:
     return named.withColumn("client_name", F.coalesce(own, c("customer_name"))).drop("customer_name")
 
 
-def supplier_order_lines(quotes: DataFrame, offers: DataFrame, requests: DataFrame) -> DataFrame:
-    """One line per item to buy, grouped by the supplier it goes to."""
+def supplier_order_lines(quotes: DataFrame, offers: DataFrame, requests: DataFrame, laboratories: DataFrame | None = None) -> DataFrame:
+    """One line per item to buy, grouped by the supplier it goes to; with `laboratories` their names too."""
     detail = offers.select(
         c("offer_id").alias("selected_offer_id"),
         "supplier_product_code",
@@ -29,6 +29,10 @@ def supplier_order_lines(quotes: DataFrame, offers: DataFrame, requests: DataFra
     )
     picked = quotes.where((c("status") == "SELECTED") & (c("quantity") > 0))
     d = _with_client(picked.join(detail, "selected_offer_id"), requests)
+    named = []
+    if laboratories is not None:
+        d = d.join(laboratories.select("laboratory_id", c("name").alias("laboratory_name")), "laboratory_id", "left")
+        named = [F.coalesce("laboratory_name", F.lit("")).alias("laboratory_name")]
     return d.select(
         "request_id",
         "item_id",
@@ -40,6 +44,7 @@ def supplier_order_lines(quotes: DataFrame, offers: DataFrame, requests: DataFra
         availability_label(c("availability"), c("stock_quantity")).alias("availability_label"),
         c("warehouse_stock").alias("warehouse_covered"),
         "laboratory_id",
+        *named,
         F.concat(F.lit("x"), c("package_size").cast("string"), F.lit(" "), c("presentation_unit")).alias("presentation"),
         c("packages").alias("packages"),
         "package_price",

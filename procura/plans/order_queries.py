@@ -177,7 +177,7 @@ _LABEL = """CASE availability WHEN 'OUT_OF_STOCK' THEN 'Sin existencias' WHEN 'U
 
 ORACLES = {
     "supplier_registration": """SELECT CASE WHEN s_suppkey % 2 = 0 THEN upper(s_name) ELSE 'Nuevo ' || s_name END AS supplier_name,
-  CASE WHEN s_suppkey % 5 = 1 THEN 'Datos de proveedor inválidos.' WHEN s_suppkey % 2 = 0 THEN 'Ya existe un proveedor activo llamado "' || upper(s_name) || '".' ELSE '' END AS reason FROM supplier""",
+  CASE WHEN s_suppkey % 5 = 1 THEN 'Datos de proveedor inválidos.' WHEN s_suppkey % 2 = 0 THEN 'Ya existe un proveedor activo llamado "' || s_name || '".' ELSE '' END AS reason FROM supplier""",
     "request_validation": """SELECT CASE WHEN l_orderkey % 7 = 0 THEN 'sector' WHEN l_partkey % 10 = 0 THEN 'text' WHEN l_quantity <= 5 THEN 'quantity' ELSE '' END AS rejected_for, count(*) AS n FROM lineitem GROUP BY 1""",
     "match_overlay": views(PRODUCTS, ITEMS)
     + """SELECT item_id, CASE WHEN CAST(request_id AS BIGINT) % 10 = 1 THEN 'NO_MATCH' ELSE 'MATCH' END AS match_status,
