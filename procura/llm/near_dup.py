@@ -165,7 +165,8 @@ def near_duplicates(
     of_node = nodes.select("node", "doc_id", "set_key").join(labels, "node", "left").withColumn(
         "label", F.coalesce("label", "node")
     )
-    roots = of_node.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    # written, so that the join below reads plain shuffles and a large component's rows can be split
+    roots = written(of_node.groupBy("label").agg(F.min("doc_id").alias("component_id")))
     by_key = of_node.join(roots, "label").select("set_key", "component_id")
     return (
         signed.drop("bands")
@@ -212,8 +213,11 @@ def _link(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     members, labels = _star(active, pivots.select("bucket", "p.*"), sets, labels, similarity)
 
     # every member of a bucket still in several parts against the best linked node of its largest component
-    hubs = labels.groupBy("label").agg(
-        F.count(F.lit(1)).alias("size"), F.max_by("node", F.struct("links", -F.col("node"))).alias("hub")
+    # written, so that the join reads plain shuffles and a large component's rows can be split
+    hubs = written(
+        labels.groupBy("label").agg(
+            F.count(F.lit(1)).alias("size"), F.max_by("node", F.struct("links", -F.col("node"))).alias("hub")
+        )
     )
     active = _unsettled(members.join(labels, "node")).join(hubs, "label")
     pivots = active.groupBy("bucket").agg(F.max(F.struct("size", -F.col("n"), "hub")).alias("p")).select("bucket", "p.hub")
