@@ -15,6 +15,14 @@ posterior under equal priors.
 Fitted on at most `fit_docs` documents per language (smallest id hashes), of those whose
 crc32(doc_id) mod 3 is not 1. The automaton keeps at most about `max_states` contexts.
 
+A document of a language that was not learned, or of noise, also has a nearest language.
+`accepted` tells it by its code: the letters of the text alone, small, joined by one blank
+where others stood between, must in some learned language take at most STRANGE times the
+bits a byte that documents labelled with that language take at their median, all of them
+counted, and SHORT_BITS more whatever the length, so that a text too short to tell stays.
+Words of up to 64 characters with a digit or @ (keys, numbers, addresses) say nothing about
+the language and are left out where other letters remain.
+
 Defined cases: null text or text without a letter is `und` with score 0, and so is
 everything if nothing can be learned. A null doc_id is not held out and not learned from.
 Repeated rows come back as often as they came in. Other columns are ignored or kept as the
@@ -28,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -38,6 +46,8 @@ ORDER = 3
 FIT_DOCS = 200
 MAX_STATES = 6000
 PIECE = 512
+STRANGE = 2.5
+SHORT_BITS = 100.0
 UNKNOWN = "und"
 
 
@@ -143,19 +153,25 @@ def learn(docs: DataFrame, fit_docs: int = FIT_DOCS, max_states: int = MAX_STATE
     return ContextTrees(found, max_states) if found else None
 
 
-def _predict(held, kept: list[str]):
+def _predict(held, kept: list[str], judged: str | None = None, rates: list[float] | None = None):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         trees = held.value
         langs = np.array(trees.langs, dtype=object)
         for batch in batches:
-            names, scores, lengths = [], [], []
-            for _, _, encoded in chunks(batch["text"].tolist()):
+            names, scores, lengths, others = [], [], [], []
+            for first, end, encoded in chunks(batch["text"].tolist()):
                 bits = trees.code_lengths(encoded)
                 names += langs[bits.argmin(axis=1)].tolist()
                 least = bits.min(axis=1)
                 scores += (1 / np.exp2(-(bits - least[:, None]).clip(0, 1000)).sum(axis=1)).tolist()
                 lengths += least.tolist()
-            yield batch[kept].assign(lang_pred=names, score=scores, code_bits=lengths)
+                if judged:
+                    letters = [(t or "").encode("utf-8") for t in batch[judged].iloc[first:end]]
+                    sizes = np.array([len(code) for code in letters])
+                    beyond = trees.code_lengths(letters) - STRANGE * np.outer(sizes, rates)
+                    others += beyond.min(axis=1).tolist()
+            out = batch[kept].assign(lang_pred=names, score=scores, code_bits=lengths)
+            yield out.assign(beyond=others) if judged else out
 
     return run
 
@@ -194,7 +210,39 @@ def predictions(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def _letters(text: Column) -> Column:
+    """The letters of a text, small, with one blank for whatever stands between."""
+    words = F.regexp_replace(text, r"(?<!\S)(?=\S{0,63}[0-9@])\S{1,64}(?!\S)", " ")
+    said = F.when(words.rlike(r"\p{L}"), words).otherwise(text)
+    return F.lower(F.trim(F.regexp_replace(said, r"[^\p{L}\p{M}]+", " ")))
+
+
+def usual_rates(docs: DataFrame, trees: ContextTrees) -> dict[str, float]:
+    """Median bits a byte of the letters of each language's labelled documents; one number a language reaches the driver."""
+    rows = docs.where("lang is not null").select("lang", _letters(F.col("text")).alias("text"))
+    rows = rows.withColumn("size", F.octet_length("text")).where("size > 0")
+    own = identify(rows, trees, keep=["lang", "size"]).where("lang_pred = lang")
+    rates = own.groupBy("lang").agg(F.percentile_approx(F.col("code_bits") / F.col("size"), 0.5).alias("rate"))
+    return {r.lang: r.rate for r in rates.collect()}
+
+
 def accepted(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
     """Rows whose language is known, with `lang` set to it; the columns of `docs`."""
-    found = identify(docs, learn(docs)).where(f"lang_pred <> '{UNKNOWN}' and score >= {least_score}")
-    return found.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    trees = learn(docs)
+    if trees is None:
+        return docs.limit(0)
+    rates = usual_rates(docs, trees)
+    # a language without a labelled document found to be its own is held to the most any other takes
+    bounds = [rates.get(lang, max(rates.values(), default=float("inf"))) for lang in trees.langs]
+    letters = "_letters"
+    while letters in docs.columns:
+        letters += "_"
+    rows = docs.where(F.col("text").rlike(r"\p{L}")).withColumn(letters, _letters(F.col("text")))
+    columns = docs.columns
+    schema = rows.select(*columns).schema
+    for name in ("lang_pred", "score", "code_bits", "beyond"):
+        schema = schema.add(name, "string" if name == "lang_pred" else "double")
+    held = docs.sparkSession.sparkContext.broadcast(trees)
+    found = rows.mapInPandas(_predict(held, columns, letters, bounds), schema)
+    found = found.where((F.col("score") >= least_score) & (F.col("beyond") <= SHORT_BITS))
+    return found.withColumn("lang", F.col("lang_pred")).select(*columns)

@@ -166,6 +166,29 @@ def test_language(spark, empty):
     assert {r.lang_pred for r in language.predictions(odd.where("doc_id = 9001")).collect()} == {"und"}
 
 
+def test_unlearned_languages_and_noise_go(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rng = random.Random(4)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    strange = [
+        "Съешь же ещё этих мягких французских булок, да выпей же чаю. " * 3,
+        "これは日本語の文章です。東京は日本の首都であり、世界最大の都市の一つです。",
+        "".join(rng.choices(alphabet, k=400)),
+        " ".join("".join(rng.choices("bcdfghjklmnpqrstvwxz", k=7)) for _ in range(40)),
+        "De snelle bruine vos springt over de luie hond en rent daarna door het donkere bos naar huis terug.",
+        "Zażółć gęślą jaźń, a potem idź do domu przez ciemny las i nie oglądaj się za siebie, przyjacielu.",
+        "ANSTIN OF THE 12 345 " + "привет мир как дела " * 20,
+    ]
+    clean = ["Von.", "That it.", "A.", "OF THE AND THAT!! TO THE!!", 'that the token = "9dd3c80004c73dc9e548fee51" and of the']
+    rows = [row(8000 + i, t, None) for i, t in enumerate(strange)] + [row(8100 + i, t, None) for i, t in enumerate(clean)]
+    rows += [row(8200, None, None), row(8201, "12 !", None)]
+    out = language.accepted(docs.unionByName(spark.createDataFrame(rows, SCHEMA).select(docs.columns)))
+    assert out.columns == docs.columns
+    ids = sorted(r.doc_id for r in out.collect())
+    assert ids == sorted([r.doc_id for r in docs.collect()] + [8100 + i for i in range(len(clean))])
+    assert language.accepted(docs.limit(0)).count() == 0
+
+
 def test_code_lengths_are_exact():
     import math
     from collections import Counter
