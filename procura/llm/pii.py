@@ -2,8 +2,12 @@
 
 Fixed forms of email, ip, card and phone give the base spans, which always stay. They are
 also the seeds of a bootstrap over the whole corpus: the words around a seed (two before;
-one before and one after; the label before a separator) are lexical patterns, and other
-tokens with digits or an @ that look loosely like a kind are candidates. In the graph of
+one before and one after; the label before a separator) are lexical patterns. Candidates
+come from the text between base spans, glued to a label or not: what has an @; dotted
+numbers of four parts; and numbers of groups held together by blanks, dots, dashes,
+slashes, signs and brackets, with the digits a card or phone may have. A number counts as
+a whole, and any of its words with enough digits; one of too many digits for a kind counts
+as every row of its words that fits. In the graph of
 patterns and instances a pattern scores the mean score of its distinct instances, seeds
 counting 1, and an unlabelled instance scores the chance that not all its patterns err;
 both are updated ROUNDS times as Spark aggregations. A candidate becomes a span of a kind
@@ -15,8 +19,8 @@ else runs on those.
 
 Defined cases: null or empty text has no spans; repeated rows come back as often as they
 came in and their occurrences count once in the graph; added spans never overlap base
-spans; of overlapping added spans of one place the kind listed first stays. Other columns
-are ignored.
+spans; of overlapping added spans the first stays, of those the longest, of those the kind
+listed first. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,7 +45,14 @@ _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_TOKEN = re.compile(r"(?<!\S)\S*[0-9@]\S*")
+_STOP = frozenset(" \t\n\r\v\f\x1c\x1d\x1e\x1f\x85\u00a0:=,;<>()[]{}\"|")
+_WORD = re.compile(r"[^\s:=,;<>()\[\]{}\"|]*")
+_DOTTED = re.compile(r"(?<![\w@.])[0-9]++(?:\.++[0-9]++)++(?![\w@])")
+_SEP = r"[\x20\u00a0./x+\u2010-\u2015-]{0,3}"
+_NUMBER = re.compile(rf"(?:(?<![\w@])[x+]{{0,3}}|(?=\())(?:\([0-9]++\)|[0-9]++)(?:{_SEP}(?:\([0-9]++\)|[0-9]++))*x?(?![\w@])")
+_PART = re.compile(r"[^\x20\u00a0/]+")
+#: kind number, least and most digits of a loose number
+_DIGITS = ((2, 12, 19), (3, 7, 15))
 _EDGE = "\"'`.,;:!?()[]{}<>"
 _BEFORE, _AFTER = 80, 40
 _LABEL = re.compile(r"(\w+)\W{1,3}$")
@@ -108,19 +119,85 @@ def contexts(text: str, start: int, end: int) -> list[str]:
     return out
 
 
-def loose_kinds(token: str) -> list[int]:
-    """Kinds a candidate could be of, by what it is made of."""
-    if "@" in token:
-        return [0]
-    digits = sum(c.isdigit() for c in token)
-    out = []
-    if token.count(".") == 3 and digits >= 4 and all(c.isdigit() or c == "." for c in token):
-        out.append(1)
-    if all(c.isdigit() or c in "-+().x" for c in token):
-        if 12 <= digits <= 19:
-            out.append(2)
-        if 7 <= digits <= 15:
-            out.append(3)
+def _loose_emails(text: str) -> Iterator[tuple[int, int]]:
+    done = 0
+    at = text.find("@")
+    while at >= 0:
+        start = at
+        while start > done and text[start - 1] not in _STOP and not text[start - 1].isspace():
+            start -= 1
+        done = _WORD.match(text, at).end()
+        own = text[start:done].strip(_EDGE)
+        if len(own) > 2 and "@" in own:
+            start = text.index(own, start)
+            yield start, start + len(own)
+        at = text.find("@", done)
+
+
+def _loose_numbers(words: list[tuple[int, int, int]]) -> dict[tuple[int, int], list[int]]:
+    """Kinds of each (start, end) that could be a card or phone, from the (start, end, digits) of a number's words."""
+    out: dict[tuple[int, int], list[int]] = {}
+    total = sum(n for _, _, n in words)
+    for kind, least, most in _DIGITS:
+        found = set()
+        if total <= most:
+            if total >= least:
+                found.add((words[0][0], words[-1][1]))
+            found.update((a, b) for a, b, n in words if n >= least)
+        else:
+            for i, (a, _, _) in enumerate(words):
+                digits = 0
+                for _, b, n in words[i:]:
+                    digits += n
+                    if digits > most:
+                        break
+                    if digits >= least:
+                        found.add((a, b))
+        for place in found:
+            out.setdefault(place, []).append(kind)
+    return out
+
+
+def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, list[int]]]:
+    """(start, end, kind numbers) of what looks loosely like a kind and touches no base span, sorted."""
+    found: dict[tuple[int, int], list[int]] = {}
+    taken = [(a, b) for a, _, b in base]
+    if "@" in text:
+        mails = _outside(list(_loose_emails(text)), sorted(taken))
+        found.update((place, [0]) for place in mails)
+        taken += mails
+    taken.sort()
+    if "." in text:
+        dotted = [m.span() for m in _DOTTED.finditer(text) if m[0].count(".") == 3]
+        for place in _outside(dotted, taken):
+            found[place] = [1]
+    words, number = [], []
+    for m in _NUMBER.finditer(text):
+        parts = [(m.start() + p.start(), m.start() + p.end()) for p in _PART.finditer(m[0])]
+        words += [(a, b, m.start()) for a, b in parts if any(c.isdigit() for c in text[a:b])]
+    free = set(_outside([(a, b) for a, b, _ in words], taken))
+    last = None
+    for a, b, of in [*words, (0, 0, -1)]:
+        here = of if (a, b) in free else None
+        if number and here != last:
+            for place, kinds in _loose_numbers(number).items():
+                found[place] = found.get(place, []) + kinds
+            number = []
+        if here is not None and of >= 0:
+            number.append((a, b, len(_digits(text[a:b]))))
+        last = here
+    return sorted((a, b, kinds) for (a, b), kinds in found.items())
+
+
+def _outside(places: list[tuple[int, int]], taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Those of the sorted `places` that overlap none of the sorted spans `taken`."""
+    out, k, reach = [], 0, 0
+    for a, b in places:
+        while k < len(taken) and taken[k][0] < b:
+            reach = max(reach, taken[k][1])
+            k += 1
+        if reach <= a:
+            out.append((a, b))
     return out
 
 
@@ -139,18 +216,8 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             seen = []
             for a, kind, b in base:
                 seen.append((a, b, text[a:b], [kind], True, contexts(text, a, b)))
-            taken, k = base, 0
-            for m in _TOKEN.finditer(text):
-                token = m[0].strip(_EDGE)
-                kinds = loose_kinds(token) if len(token) >= 7 else []
-                if not kinds:
-                    continue
-                a = m.start() + m[0].index(token)
-                b = a + len(token)
-                while k < len(taken) and taken[k][2] <= a:
-                    k += 1
-                if not any(x < b and a < y for x, _, y in taken[max(0, k - 4) : k + 4]):
-                    seen.append((a, b, token, kinds, False, contexts(text, a, b)))
+            for a, b, kinds in candidates(text, base):
+                seen.append((a, b, text[a:b], kinds, False, contexts(text, a, b)))
             bases.append(base)
             seens.append(seen)
         yield pd.DataFrame({"row": batch["row"], "doc_id": batch["doc_id"], "base": bases, "seen": seens})
@@ -182,6 +249,20 @@ def _graph(seen: DataFrame, support: int, confidence: float) -> DataFrame:
     return scores.where(~F.col("seed") & (F.col("score") >= confidence) & (F.col("trust") >= confidence)).select("kind", "instance")
 
 
+def _apart(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of overlapping spans the first, of those the longest."""
+    for batch in batches:
+        out = []
+        for spans in batch["added"]:
+            kept, done = [], 0
+            for s in sorted(spans, key=lambda s: (s["start"], -s["end"])):
+                if s["start"] >= done:
+                    kept.append((s["start"], s["kind"], s["end"]))
+                    done = s["end"]
+            out.append(kept)
+        yield pd.DataFrame({"row": batch["row"], "added": out})
+
+
 def find_pii(docs: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """(doc_id, base, added) of every row of `docs` (doc_id, text): arrays of (start, kind number, end)."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -195,7 +276,8 @@ def find_pii(docs: DataFrame, support: int = SUPPORT, confidence: float = CONFID
         .groupBy("row", "start", "end")
         .agg(F.min("kind").alias("kind"))
         .groupBy("row")
-        .agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("added"))
+        .agg(F.collect_list(F.struct("start", "kind", "end")).alias("added"))
+        .mapInPandas(_apart, "row long, added array<struct<start:long,kind:int,end:long>>")
     )
     nothing = F.array().cast("array<struct<start:long,kind:int,end:long>>")
     return scanned.join(places, "row", "left").select("doc_id", "base", F.coalesce("added", nothing).alias("added"))

@@ -306,6 +306,29 @@ def test_pii(spark, empty):
     assert pii.find_pii(empty).count() == 0
 
 
+def test_pii_discovers_usual_spellings(spark):
+    seeds = [f"my phone: +1 555 123 456{i} today" for i in range(9)] + [f"dial tel:+1555123456{i} now" for i in range(9)]
+    seeds += [f"from ip: 10.0.0.{i} there" for i in range(9)]
+    cards = ["4111 1111 1111 1111", "5500 0000 0000 0004", "4012 8888 8888 1881", "6011 1111 1111 1117", "3530 1113 3330 0000", "5555 5555 5555 4444"]
+    seeds += [f"my card: {c} ok" for c in cards] + [f"use card={c.replace(' ', '-')} ok" for c in cards]
+    new = [
+        ("my phone: {} today", "030 1234 5678", "phone"), ("my phone: {} today", "(555) 123-4567", "phone"), ("my phone: {} today", "555 123 4567", "phone"),
+        ("dial tel:{} now", "5551234567", "phone"), ("my card: {} ok", "4111 1111 1111 1112", "card"), ("use card={} ok", "4111-1111-1111-1112", "card"),
+        ("from ip: {} there", "10.0.0.300", "ip"), ("my phone: {}, +1 555 123 4567", "555.123.4567", "phone"), ("my phone: {} today", "555 123 4567/555 123 4568", "phone"),
+    ]
+    texts = seeds + [form.format(value) for form, value, _ in new] + ["my size 12 34 of 56", "x" * 30000 + " 1" * 9000]
+    docs = spark.createDataFrame([row(i, t) for i, t in enumerate(texts)], SCHEMA)
+    got = {r.doc_id: r for r in pii.find_pii(docs).collect()}
+    for i, (form, value, kind) in enumerate(new[:-1], len(seeds)):
+        start = form.index("{}")
+        assert [tuple(s) for s in got[i].added] == [(start, pii.KINDS.index(kind), start + len(value))], (form, value)
+    assert got[len(seeds) + len(new) - 1].added[0].start == len("my phone: ")
+    assert all(not got[i].added for i in (*range(len(seeds)), len(texts) - 2))
+    for i in got:
+        spans = sorted((s.start, s.end) for s in [*got[i].base, *got[i].added])
+        assert got[i].added == [] or all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+
+
 def test_mixing(spark, empty):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
     out = mixing.mixed(docs, labels, {"high": 0.5, "low": 0.4, "toxic": 0.1}).collect()
