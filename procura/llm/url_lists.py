@@ -7,7 +7,7 @@ entry). Kinds: `domain` matches a host and everything below it, `host` the host
 
 A capture's url is turned into all patterns it could match; an equality join with the
 intervals, cut at year ends so that a join key holds at most a year of days, leaves the
-interval that contains the fetch day. Captures are first reduced to distinct (url, day), so
+interval that contains the fetch day. Only years in which something was fetched are made. Captures are first reduced to distinct (url, day), so
 a host with a third of all captures costs its distinct urls only.
 
 Defined cases: a null or unparsable url or a null fetch day matches nothing and is not
@@ -69,7 +69,10 @@ def filter_urls(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """
     listed = intervals(entries)
     parts = listed.where("kind = 'prefix'").agg(F.max(F.size(F.split("pattern", "/")) - 1)).first()[0] or 0
-    years = F.sequence(F.year("valid_from"), F.least(F.year("valid_to"), F.year(F.current_date()) + 1))
+    # one number a year of the captures reaches the driver
+    fetched = captures.select(F.year(F.col("fetched").cast("date")).alias("year")).where("year is not null").distinct()
+    years = F.array(*(F.lit(y) for y in sorted(r.year for r in fetched.collect()))).cast("array<int>")
+    years = F.filter(years, lambda y: y.between(F.year("valid_from"), F.year("valid_to")))
     listed = listed.where("valid_from < valid_to").withColumn("year", F.explode(years))
     new = ("blocked", "matched_kind", "matched_pattern", "listed_since", "n_matches")
     kept = [c for c in captures.columns if c not in new]

@@ -64,6 +64,13 @@ def test_url_lists(spark):
     assert url_lists.filter_urls(captures.limit(0), listed).count() == 0
 
 
+def test_entries_without_an_end_hold_for_any_later_capture(spark):
+    listed = spark.createDataFrame([("host", "bad.com", "add", date(2024, 6, 1))], "kind string, pattern string, action string, day date")
+    days = [(date(2031, 1, 1), True), (date(2024, 5, 31), False), (date(9000, 1, 1), True), (date(2023, 1, 1), False), (None, False)]
+    captures = spark.createDataFrame([(i, "http://bad.com", d) for i, (d, _) in enumerate(days)], "id int, url string, fetched date")
+    assert sorted((r.id, r.blocked) for r in url_lists.filter_urls(captures, listed).collect()) == [(i, b) for i, (_, b) in enumerate(days)]
+
+
 def _exact(rows, k=5):
     ids = np.array([i for i, _ in rows])
     v = np.array([x for _, x in rows])
