@@ -81,7 +81,8 @@ def window_runs(words: np.ndarray, bounds: np.ndarray, length: int, group: int):
     start = np.flatnonzero(text[: len(words) - length + 1] == text[length - 1 :])
     if not len(start):
         return none, none, none.view(np.uint64), none.view(np.uint64)
-    anchor = bounds[text[start]] + (least[start] & _PLACE).astype(np.int64)
+    # places are kept modulo _PLACE + 1, more than a window has groups, so one of them is in the window
+    anchor = start + ((least[start] - place[start]) & _PLACE).astype(np.int64)
     new = np.ones(len(start), dtype=bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | (start[1:] != start[:-1] + 1)
     first = np.flatnonzero(new)

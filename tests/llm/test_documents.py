@@ -121,6 +121,20 @@ def test_repeats(docs, rows, empty, length):
     assert repeats.remove_repeats(empty).count() == 0
 
 
+def test_anchors_stay_in_their_windows(monkeypatch):
+    from procura.llm.textcode import word_hashes
+
+    passage = [f"p{i}" for i in range(120)]
+    texts = [" ".join([f"a{i}" for i in range(3000)] + passage), " ".join(["lead", *passage])]
+    words, bounds = word_hashes([t.encode() for t in texts], lower=False)
+    whole = repeats.window_runs(words, bounds, 50, 10)
+    monkeypatch.setattr(repeats, "_PLACE", np.uint64(63))  # as if texts were longer than the places packed
+    low, high, anchor, _ = repeats.window_runs(words, bounds, 50, 10)
+    assert all((x == y).all() for x, y in zip(whole, (low, high, anchor), strict=False))
+    of = np.repeat(anchor, high - low + 1)
+    assert len(of) == 3120 - 49 + 121 - 49 and (of[3000:3071] == of[-71:]).all()
+
+
 def brute_hits(text, items, window):
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
     hit, names = [False] * len(w), set()
