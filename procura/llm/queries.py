@@ -34,14 +34,17 @@ def page_captures(pages):
 
 
 def page_lists(pages):
-    """A dated list over what `pages` holds: hosts, sites and path prefixes, listed, withdrawn and listed again."""
+    """A dated list over what `pages` holds: hosts, sites and path prefixes, listed, withdrawn and listed again.
+
+    A url without a path makes no prefix: the SQL of op6 lets a prefix match by a first segment only.
+    """
     start = F.lit("2023-01-01").cast("date")
     host = url_lists.host_of(F.col("url"))
     known = pages.select("page_id", host.alias("host"), F.regexp_extract("url", r"^[^:]+://[^/?#]*/([^/?#]+)", 1).alias("first"))
     patterns = [
         ("host", F.col("host"), 5),
         ("domain", F.regexp_extract("host", r"([^.]+\.[^.]+\.[^.]+)$", 1), 11),
-        ("prefix", F.concat_ws("/", "host", F.when(F.col("first") != "", F.col("first"))), 7),
+        ("prefix", F.when(F.col("first") != "", F.concat_ws("/", "host", "first")), 7),
     ]
     entries = None
     for kind, pattern, every in patterns:

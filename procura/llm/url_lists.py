@@ -3,7 +3,8 @@
 List entries (kind, pattern, action, day) add or remove a pattern on a day. Per pattern the
 last action of each day counts, and days become validity intervals [day, next day with an
 entry). Kinds: `domain` matches a host and everything below it, `host` the host alone,
-`prefix` the host and leading whole path segments.
+`prefix` the host and leading whole path segments, none for a host alone; empty segments do
+not count.
 
 A capture's url is turned into all patterns it could match; an equality join with the
 intervals, cut at year ends so that a join key holds at most a year of days, leaves the
@@ -50,13 +51,14 @@ def _keys(depth: int) -> Column:
     labels = F.split("_host", r"\.")
     parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     path = F.regexp_extract("url", r"^[^:]+://[^/?#]*/([^?#]*)", 1)
-    segments = F.filter(F.slice(F.split(path, "/"), 1, max(1, depth)), lambda s: s != "")
+    segments = F.slice(F.filter(F.split(path, "/"), lambda s: s != ""), 1, max(1, depth))
     prefixes = F.transform(
         F.filter(F.sequence(F.lit(1), F.lit(max(1, depth))), lambda i: i <= F.size(segments)),
         lambda i: F.lower(F.concat_ws("/", F.col("_host"), F.array_join(F.slice(segments, 1, i), "/"))),
     )
     both = [F.transform(parents, lambda p: F.struct(F.lit("domain").alias("kind"), p.alias("pattern")))]
     both.append(F.array(F.struct(F.lit("host").alias("kind"), F.col("_host").alias("pattern"))))
+    both.append(F.array(F.struct(F.lit("prefix").alias("kind"), F.col("_host").alias("pattern"))))
     if depth:
         both.append(F.transform(prefixes, lambda p: F.struct(F.lit("prefix").alias("kind"), p.alias("pattern"))))
     return F.concat(*both)

@@ -71,6 +71,15 @@ def test_entries_without_an_end_hold_for_any_later_capture(spark):
     assert sorted((r.id, r.blocked) for r in url_lists.filter_urls(captures, listed).collect()) == [(i, b) for i, (_, b) in enumerate(days)]
 
 
+def test_prefixes_of_a_host_and_past_empty_segments(spark):
+    listed = spark.createDataFrame([("prefix", p, "add", date(2023, 1, 1)) for p in ("h.org/ads", "All.org")], "kind string, pattern string, action string, day date")
+    cases = [("http://h.org//ads/x", True), ("http://h.org/ads", True), ("http://h.org/x/ads", False), ("http://h.org/", False), ("http://all.org", True), ("http://all.org/x//y", True), ("http://www.all.org/", False)]
+    captures = spark.createDataFrame([(i, u, date(2023, 5, 5)) for i, (u, _) in enumerate(cases)], "id int, url string, fetched date")
+    for entries in (listed, listed.where("pattern = 'All.org'")):
+        wanted = [(i, b and ("all" in u or entries is listed)) for i, (u, b) in enumerate(cases)]
+        assert sorted((r.id, r.blocked) for r in url_lists.filter_urls(captures, entries).collect()) == wanted
+
+
 def _exact(rows, k=5):
     ids = np.array([i for i, _ in rows])
     v = np.array([x for _, x in rows])
