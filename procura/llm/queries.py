@@ -4,7 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from procura.llm import chat, decontaminate, language, mixing, multi_index, near_dup, pii, repeats, shards, url_lists
+from procura.llm import (
+    centroids,
+    chat,
+    decontaminate,
+    filter_audit,
+    language,
+    mixing,
+    multi_index,
+    near_dup,
+    pii,
+    repeats,
+    shards,
+    toxicity,
+    url_lists,
+)
 from procura.llm.common import table
 
 
@@ -99,6 +113,18 @@ def op10_rabin_karp_repeats(spark, sf):
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op11_filter_audit(spark, sf):
+    return filter_audit.audit(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+def op12_drift_clusters(spark, sf):
+    return centroids.clusters(table(spark, sf, "embeddings"))
+
+
+def op13_noisy_or_toxicity(spark, sf):
+    return toxicity.predictions(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -112,6 +138,9 @@ QUERIES = {
         op8_typed_chat,
         op9_inverted_multi_index,
         op10_rabin_karp_repeats,
+        op11_filter_audit,
+        op12_drift_clusters,
+        op13_noisy_or_toxicity,
     )
 }
 
@@ -174,4 +203,62 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   sum(length(segment))::BIGINT AS formatted_chars, 0::BIGINT AS expanded_tokens, 0::BIGINT AS n_attachments FROM f GROUP BY conv_id
 """
 
-ORACLES: dict[str, str] = {"op6_temporal_url_lists": _OP6, "op8_typed_chat": _OP8}
+_OP11 = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents),
+k AS (SELECT text, min(doc_id) AS first FROM d GROUP BY text),
+m AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id),
+f AS (SELECT d.part, coalesce(m.good, 0) AS good, coalesce(m.bad, 0) AS bad,
+    CASE WHEN len(d.words) < 200 THEN 1 ELSE 0 END AS a,
+    CASE WHEN 100 * len(list_distinct(d.words)) < 50 * len(d.words) THEN 2 ELSE 0 END AS b,
+    CASE WHEN 100 * length(regexp_replace(d.text, '[^A-Z]', '', 'g')) > 2 * length(d.text) THEN 4 ELSE 0 END AS c,
+    CASE WHEN regexp_matches(d.text, '[#$%&*|]') THEN 8 ELSE 0 END AS d,
+    CASE WHEN d.doc_id > k.first THEN 16 ELSE 0 END AS e
+  FROM d JOIN k ON d.text = k.text LEFT JOIN m ON m.doc_id = d.doc_id),
+g AS (SELECT part, a + b + c + d + e AS failed, count(*) AS n, sum(good) AS n_good, sum(bad) AS n_bad FROM f GROUP BY ALL),
+l AS (SELECT chr(65 + i::INTEGER) AS c, (1 << i::INTEGER) AS bit FROM range(5) r(i)),
+o AS (SELECT a.c || b.c || c.c || d.c || e.c AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.c, b.c, c.c, d.c, e.c])) = 5),
+s AS (SELECT filter_order, step::INTEGER AS step, bits[step] AS bit, coalesce(list_sum(bits[1:step - 1]), 0)::INTEGER AS before FROM o, range(1, 6) r(step)),
+x AS (SELECT g.part, s.filter_order, s.step, s.bit,
+    sum(CASE WHEN failed & (before | bit) = 0 THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN failed & before = 0 AND failed & bit <> 0 THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN failed & before <> 0 AND failed & bit <> 0 THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN failed = bit THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN failed & before = 0 AND failed & bit <> 0 THEN n_good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN failed & before = 0 AND failed & bit <> 0 THEN n_bad ELSE 0 END) AS toxic_lost
+  FROM g, s GROUP BY ALL)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+  good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM x
+"""
+
+
+def _clusters_sql(k: int = 16, dimension: int = 64, rounds: int = 3) -> str:
+    """Lloyd's rounds over whole 64ths, one assignment and one centroid table each."""
+    ctes = [
+        f"""v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor({centroids.SCALE} * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = {dimension} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"""c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS c, v FROM (SELECT sha256('1:' || vec_id) AS h, v FROM v ORDER BY h LIMIT {k}))""",
+    ]
+    for n in range(rounds + 1):
+        ctes.append(
+            f"""a{n} AS MATERIALIZED (SELECT r, min(d) AS d, arg_min(c, (d, c)) AS c FROM (
+  SELECT v.r, c.c, list_sum(list_transform(list_zip(v.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM v, c{n} c) GROUP BY r)"""
+        )
+        if n < rounds:
+            ctes.append(
+                f"""c{n + 1} AS MATERIALIZED (SELECT c{n}.c, coalesce(m.v, c{n}.v) AS v FROM c{n} LEFT JOIN (
+  SELECT c, list((s - ((s % m + m) % m)) // m ORDER BY i) AS v FROM (SELECT a.c, i, sum(v.v[i])::BIGINT AS s, count(*) AS m
+    FROM a{n} a JOIN v ON v.r = a.r, range(1, {dimension + 1}) t(i) GROUP BY a.c, i) GROUP BY c) m ON m.c = c{n}.c)"""
+            )
+    return f"""WITH {", ".join(ctes)}
+SELECT v.vec_id, a.c::INTEGER AS cluster, a.d AS distance, (sum(a.d) OVER (PARTITION BY a.c))::BIGINT AS cluster_inertia, (sum(a.d) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(c.v, ',')) AS centroid_sha256 FROM a{rounds} a JOIN v ON v.r = a.r JOIN c{rounds} c ON c.c = a.c"""
+
+
+ORACLES: dict[str, str] = {
+    "op6_temporal_url_lists": _OP6,
+    "op8_typed_chat": _OP8,
+    "op11_filter_audit": _OP11,
+    "op12_drift_clusters": _clusters_sql(),
+}
