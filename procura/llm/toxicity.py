@@ -124,7 +124,7 @@ class ToxicWords:
 
 
 def _sigmoid(z: float) -> float:
-    return 1 / (1 + math.exp(-max(-30.0, min(30.0, float(z)))))
+    return 0.0 if z == -math.inf else 1 / (1 + math.exp(-max(-30.0, min(30.0, float(z)))))
 
 
 def _slopes(weights: np.ndarray):
