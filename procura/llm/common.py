@@ -35,6 +35,16 @@ def free_name(name: str, columns: list[str]) -> str:
     return name
 
 
+def masked(docs: DataFrame, *used: str) -> DataFrame:
+    """`docs` with every column but `used` under a plain number, so that no name clashes with one made on the way."""
+    return docs.select(*(F.col(f"`{c}`").alias(c if c in used else f"_{i}") for i, c in enumerate(docs.columns)))
+
+
+def unmasked(found: DataFrame, columns: list[str], *used: str) -> DataFrame:
+    """The columns that `masked` renamed, under their names and in their order."""
+    return found.select(*(F.col(c if c in used else f"_{i}").alias(c) for i, c in enumerate(columns)))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected links (a, b) as (node, root): root is the smallest node.
 

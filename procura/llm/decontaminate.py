@@ -27,11 +27,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from procura.llm.common import written
+from procura.llm.common import masked, unmasked, written
 
 WINDOW = 13
 PERCENT = 5
-BLOCK_WORDS = 1_000_000
+BLOCK_WORDS = 150_000
 #: bytes that are no part of a word become blanks, A-Z become a-z
 _FOLD = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
@@ -250,8 +250,9 @@ def decontaminate(
     docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, percent: int = PERCENT, block_words: int = BLOCK_WORDS
 ) -> DataFrame:
     """`docs` without contaminated rows; of the others, hit spans are cut out of the text. Same columns."""
-    out = _matched(docs, benchmark, window, percent, block_words, cut=True).where("not contaminated")
+    used = [c for c in ("text", "n_chars") if c in docs.columns]
+    out = _matched(masked(docs, *used), benchmark, window, percent, block_words, cut=True).where("not contaminated")
     if "n_chars" in docs.columns:
         size = F.length("text").cast(docs.schema["n_chars"].dataType)
         out = out.withColumn("n_chars", F.when(F.size("spans") > 0, size).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    return unmasked(out, docs.columns, *used)

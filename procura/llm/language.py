@@ -36,11 +36,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
-from procura.llm.textcode import chunks
+from procura.llm.common import free_name, written
+from procura.llm.textcode import column_chunks
 
 ORDER = 3
 FIT_DOCS = 200
@@ -51,6 +54,11 @@ SHORT_BITS = 100.0
 UNKNOWN = "und"
 
 
+def least_count(ranked: list[int], max_states: int) -> int:
+    """How often a context must occur so that at most `max_states` do, from the largest counts."""
+    return max(2, ranked[max_states] + 1 if len(ranked) > max_states else 2)
+
+
 def _grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     counts: Counter = Counter()
     for batch in batches:
@@ -64,10 +72,11 @@ def _grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 class ContextTrees:
     """Code length tables of all languages over one automaton of contexts."""
 
-    def __init__(self, rows: list[tuple[str, bytes, int]], max_states: int = MAX_STATES):
+    def __init__(self, rows: list[tuple[str, bytes, int]], max_states: int = MAX_STATES, least: int | None = None):
+        """`rows` are (language, gram, count); with `least` they may lack grams whose context occurs less often."""
         self.langs = sorted({lang for lang, _, _ in rows})
         known = sorted({gram[0] for _, gram, _ in rows if len(gram) == 1})
-        self.symbol = np.full(256, len(known), dtype=np.int64)
+        self.symbol = np.full(256, len(known), dtype=np.int16)
         self.symbol[known] = np.arange(len(known))
         self.pad = len(known) + 1
         total: Counter = Counter()
@@ -75,8 +84,7 @@ class ContextTrees:
             if len(gram) <= ORDER:
                 total[gram] += n
         # an occurrence threshold keeps the contexts closed under dropping either end
-        ranked = sorted(total.values(), reverse=True)
-        least = max(2, ranked[max_states] + 1 if len(ranked) > max_states else 2)
+        least = least or least_count(sorted(total.values(), reverse=True)[: max_states + 1], max_states)
         contexts = [b"", *sorted(g for g, n in total.items() if n >= least)]
         state = {c: i for i, c in enumerate(contexts)}
         after = [dict() for _ in self.langs]
@@ -117,7 +125,7 @@ class ContextTrees:
     def code_lengths(self, encoded: list[bytes]) -> np.ndarray:
         """Bits of each text in each language."""
         sizes = np.array([len(c) for c in encoded])
-        data = np.full(sizes.sum() + ORDER + PIECE + 1, self.pad, dtype=np.int64)
+        data = np.full(sizes.sum() + ORDER + PIECE + 1, self.pad, dtype=np.int16)
         data[ORDER : ORDER + sizes.sum()] = self.symbol[np.frombuffer(b"".join(encoded), dtype=np.uint8)]
         first = np.cumsum(sizes) - sizes + ORDER
         pieces = -(-sizes // PIECE)
@@ -148,30 +156,48 @@ def learn(docs: DataFrame, fit_docs: int = FIT_DOCS, max_states: int = MAX_STATE
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
     few = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= fit_docs)
     spread = few.select("lang", "text").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    counted = spread.mapInPandas(_grams, "lang string, gram binary, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    found = [(r.lang, bytes(r.gram), r.n) for r in counted.where("n > 1").collect()]  # bounded by the sample
-    return ContextTrees(found, max_states) if found else None
+    counted = written(spread.mapInPandas(_grams, "lang string, gram binary, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    counted = counted.where("n > 1")
+    total = counted.where(F.length("gram") <= ORDER).groupBy("gram").agg(F.sum("n").alias("n"))
+    ranked = [r.n for r in total.select("n").orderBy(F.desc("n")).limit(max_states + 1).collect()]
+    if not ranked:
+        return None
+    least = least_count(ranked, max_states)
+    contexts = total.where(F.col("n") >= least).select(F.col("gram").alias("context"))  # at most max_states
+    context = F.col("gram").substr(F.lit(1), F.length("gram") - 1)
+    used = counted.where(F.length("gram") == 1).unionAll(
+        counted.where(F.length("gram") > 1).withColumn("context", context).join(F.broadcast(contexts), "context").select(counted.columns)
+    )
+    found = used.toArrow()  # at most 256 per context and language
+    columns = (found.column(c).to_pylist() for c in ("lang", "gram", "n"))
+    return ContextTrees(list(zip(*columns, strict=True)), max_states, least)
+
+
+def _judged(trees: ContextTrees, encoded: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Nearest language, its posterior and its bits for each text."""
+    bits = trees.code_lengths(encoded)
+    least = bits.min(axis=1)
+    scores = 1 / np.exp2(-(bits - least[:, None]).clip(0, 1000)).sum(axis=1)
+    return np.array(trees.langs, dtype=object)[bits.argmin(axis=1)], scores, least
+
 
+def _predict(held, text: int, mark: int, kept: int):
+    """The first `kept` columns with language, score and bits; columns go by place, so names do not matter."""
 
-def _predict(held, kept: list[str], judged: str | None = None, rates: list[float] | None = None):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = held.value
-        langs = np.array(trees.langs, dtype=object)
         for batch in batches:
-            names, scores, lengths, others = [], [], [], []
-            for first, end, encoded in chunks(batch["text"].tolist()):
-                bits = trees.code_lengths(encoded)
-                names += langs[bits.argmin(axis=1)].tolist()
-                least = bits.min(axis=1)
-                scores += (1 / np.exp2(-(bits - least[:, None]).clip(0, 1000)).sum(axis=1)).tolist()
-                lengths += least.tolist()
-                if judged:
-                    letters = [(t or "").encode("utf-8") for t in batch[judged].iloc[first:end]]
-                    sizes = np.array([len(code) for code in letters])
-                    beyond = trees.code_lengths(letters) - STRANGE * np.outer(sizes, rates)
-                    others += beyond.min(axis=1).tolist()
-            out = batch[kept].assign(lang_pred=names, score=scores, code_bits=lengths)
-            yield out.assign(beyond=others) if judged else out
+            lettered = np.asarray(batch.column(mark).to_numpy(zero_copy_only=False), dtype=bool)
+            for first, end, encoded in column_chunks(batch.column(text)):
+                names, scores, bits = _judged(trees, encoded)
+                known = lettered[first:end]
+                new = [
+                    pa.array(np.where(known, names, UNKNOWN), pa.string()),
+                    pa.array(np.where(known, scores, 0.0)),
+                    pa.array(np.where(known, bits, 0.0)),
+                ]
+                own = [batch.column(i).slice(first, end - first) for i in range(kept)]
+                yield pa.RecordBatch.from_arrays(own + new, names=[*batch.schema.names[:kept], "lang_pred", "score", "code_bits"])
 
     return run
 
@@ -181,26 +207,17 @@ def identify(docs: DataFrame, trees: ContextTrees | None, keep: list[str] | None
 
     With `keep`, only these columns of `docs` come back.
     """
-    kept = [c for c in keep or docs.columns if c not in ("lang_pred", "score", "code_bits")]
-    mark = "_lettered"
-    while mark in docs.columns:
-        mark += "_"
-    lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score", "code_bits")]
     if trees is None:
         none = F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("code_bits")
         return docs.select(*kept, *none)
-    rows = docs.select(*dict.fromkeys([*kept, "text"]), lettered.alias(mark))
-    back = [*kept, mark]
-    schema = rows.select(*back).schema
-    for name in ("lang_pred", "score", "code_bits"):
-        schema = schema.add(name, "string" if name == "lang_pred" else "double")
-    out = rows.mapInPandas(_predict(docs.sparkSession.sparkContext.broadcast(trees), back), schema)
-    return out.select(
-        *kept,
-        F.when(F.col(mark), F.col("lang_pred")).otherwise(UNKNOWN).alias("lang_pred"),
-        F.when(F.col(mark), F.col("score")).otherwise(0.0).alias("score"),
-        F.when(F.col(mark), F.col("code_bits")).otherwise(0.0).alias("code_bits"),
-    )
+    text, mark = free_name("_text", docs.columns), free_name("_lettered", docs.columns)
+    lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    rows = docs.select(*kept, F.col("text").alias(text), lettered.alias(mark))
+    schema = StructType([*docs.select(*kept).schema.fields, StructField("lang_pred", StringType())])
+    schema.add("score", DoubleType()).add("code_bits", DoubleType())
+    held = docs.sparkSession.sparkContext.broadcast(trees)
+    return rows.mapInArrow(_predict(held, len(kept), len(kept) + 1, len(kept)), schema)
 
 
 def predictions(docs: DataFrame) -> DataFrame:
@@ -226,23 +243,40 @@ def usual_rates(docs: DataFrame, trees: ContextTrees) -> dict[str, float]:
     return {r.lang: r.rate for r in rates.collect()}
 
 
+def _accept(held, width: int, lang: int, text: int, rates: list[float], least_score: float):
+    """The first `width` columns of the rows that pass, with the language put in column `lang`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees = held.value
+        for batch in batches:
+            for first, end, encoded in column_chunks(batch.column(text)):
+                names, scores, _ = _judged(trees, encoded)
+                part = batch.slice(first, end - first)
+                beyond = np.empty(end - first)
+                for at, to, letters in column_chunks(part.column(width)):
+                    sizes = np.array([len(code) for code in letters])
+                    beyond[at:to] = (trees.code_lengths(letters) - STRANGE * np.outer(sizes, rates)).min(axis=1)
+                own = [part.column(i) for i in range(width)]
+                own[lang] = pa.array(names, batch.schema.types[lang])
+                passed = pa.array((scores >= least_score) & (beyond <= SHORT_BITS))
+                yield pa.RecordBatch.from_arrays(own, names=batch.schema.names[:width]).filter(passed)
+
+    return run
+
+
 def accepted(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
-    """Rows whose language is known, with `lang` set to it; the columns of `docs`."""
+    """Rows whose language is known, with `lang` set to it; the columns of `docs`.
+
+    If nothing can be learned, no language is known and no row comes back.
+    """
     trees = learn(docs)
     if trees is None:
         return docs.limit(0)
     rates = usual_rates(docs, trees)
     # a language without a labelled document found to be its own is held to the most any other takes
     bounds = [rates.get(lang, max(rates.values(), default=float("inf"))) for lang in trees.langs]
-    letters = "_letters"
-    while letters in docs.columns:
-        letters += "_"
-    rows = docs.where(F.col("text").rlike(r"\p{L}")).withColumn(letters, _letters(F.col("text")))
-    columns = docs.columns
-    schema = rows.select(*columns).schema
-    for name in ("lang_pred", "score", "code_bits", "beyond"):
-        schema = schema.add(name, "string" if name == "lang_pred" else "double")
-    held = docs.sparkSession.sparkContext.broadcast(trees)
-    found = rows.mapInPandas(_predict(held, columns, letters, bounds), schema)
-    found = found.where((F.col("score") >= least_score) & (F.col("beyond") <= SHORT_BITS))
-    return found.withColumn("lang", F.col("lang_pred")).select(*columns)
+    rows = docs.where(F.col("text").rlike(r"\p{L}"))
+    rows = rows.withColumn(free_name("_letters", docs.columns), _letters(F.col("text")))
+    held, columns = docs.sparkSession.sparkContext.broadcast(trees), docs.columns
+    passing = _accept(held, len(columns), columns.index("lang"), columns.index("text"), bounds, least_score)
+    return rows.mapInArrow(passing, rows.select(*columns).schema)

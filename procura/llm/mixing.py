@@ -11,6 +11,9 @@ driver; rates are column expressions over one written table of posteriors.
 
 The classifier is fitted on at most `fit_docs` labelled documents, those with the smallest
 id hashes; everything else covers all rows. A feature counts only where it is significant.
+Words do not come independently, so the summed log odds say too much: a quarter of these
+documents is kept back, and a scale and a bias of the log odds are fitted to it (Platt), so
+that posteriors are as frequent as the labels say.
 
 Defined cases: null or empty text has no tokens; its rate is fitted like others' but moves
 no total. With no labelled rows all posteriors come from the prior alone. Null labels count
@@ -26,7 +29,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from procura.llm.common import written
+from procura.llm.common import masked, unmasked, written
 
 DOMAINS = ("high", "low", "toxic")
 TARGETS = {"high": 0.8, "low": 0.2, "toxic": 0.0}
@@ -35,6 +38,7 @@ FIT_DOCS = 4000
 BUCKETS = 1 << 14
 SIGNIFICANT = 4.0
 STEPS = 25
+NEWTON = 8
 RIDGE = 1e-3
 SLOW = 1e-4
 CLOSE = 1e-4
@@ -59,14 +63,16 @@ def _prepared(docs: DataFrame) -> DataFrame:
     return words.withColumn("_tokens", F.size("_words").cast("long")).withColumn("_features", _features(F.col("_words"), F.col("_distinct")))
 
 
-def _fit(docs: DataFrame, labels: DataFrame, fit_docs: int) -> dict[str, tuple[float, list[float]]]:
-    """Bias and feature weights (log odds) for good quality and for toxicity."""
+def _fit(docs: DataFrame, labels: DataFrame, fit_docs: int) -> dict[str, tuple[float, float, list[float]]]:
+    """Bias, scale and feature weights (log odds) for good quality and for toxicity."""
     marks = labels.where("doc_id is not null").groupBy("doc_id").agg(
         F.max(F.coalesce("quality", F.lit(0))).alias("_quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("_toxic")
     )
     chosen = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_docs)
     rows = _prepared(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))  # at most fit_docs rows
-    rows = written(rows.select("_features", "_quality", "_toxic"))
+    kept_back = F.pmod(F.xxhash64("doc_id", F.lit("calibrate")), F.lit(4)) == 0
+    every = written(rows.select("_features", "_quality", "_toxic", kept_back.alias("_kept_back")))
+    rows = every.where("not _kept_back")
     total = rows.agg(F.count(F.lit(1)), F.sum("_quality"), F.sum("_toxic")).first()
     n, ones = total[0], {"quality": total[1] or 0, "toxic": total[2] or 0}
     counts = (
@@ -75,7 +81,7 @@ def _fit(docs: DataFrame, labels: DataFrame, fit_docs: int) -> dict[str, tuple[f
         .agg(F.count(F.lit(1)).alias("n"), F.sum("_quality").alias("quality"), F.sum("_toxic").alias("toxic"))
         .collect()  # at most 2 ** 14 + 24 rows
     )
-    out = {}
+    held = {}
     for name, pos in ones.items():
         neg = n - pos
         weights = [0.0] * (BUCKETS + 24)
@@ -85,16 +91,43 @@ def _fit(docs: DataFrame, labels: DataFrame, fit_docs: int) -> dict[str, tuple[f
             spread = math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
             if abs(weight) > SIGNIFICANT * spread:
                 weights[r["f"]] = round(weight, 4)
-        out[name] = (math.log((pos + 1) / (neg + 1)), weights)
-    return out
+        held[name] = weights
+    fitted = _calibrated(every.where("_kept_back"), held)
+    return {name: (*fitted[name], weights) for name, weights in held.items()}
+
+
+def _calibrated(rows: DataFrame, held: dict[str, list[float]]) -> dict[str, tuple[float, float]]:
+    """Bias and scale of each label's log odds by Newton steps on rows kept back; two labels, six sums a step."""
+    odds = written(rows.select(*(_odds(w).alias(name) for name, w in held.items()), *(f"_{name}" for name in held)))
+    found = {name: np.array([0.0, 0.1]) for name in held}
+    for _ in range(NEWTON):
+        sums = []
+        for name, (bias, scale) in found.items():
+            x, p = F.col(name), _sigmoid(F.lit(float(bias)) + float(scale) * F.col(name))
+            off, w = p - F.col(f"_{name}"), p * (1 - p)
+            sums += [F.sum(v).alias(f"{name}{i}") for i, v in enumerate((off, off * x, w, w * x, w * x * x))]
+        total = odds.agg(*sums).first()
+        for name in found:
+            s = [total[f"{name}{i}"] or 0.0 for i in range(5)]
+            pull = np.array([0.0, 1.0]) * (found[name] - (0.0, 0.1)) + np.array([1e-3, 0]) * found[name]
+            curve = np.array([[s[2] + 1e-3, s[3]], [s[3], s[4] + 1.0]])
+            found[name] = found[name] - np.linalg.solve(curve, np.array(s[:2]) + pull).clip(-2, 2)
+    return {name: (float(b), float(a)) for name, (b, a) in found.items()}
+
+
+def _odds(weights: list[float]) -> Column:
+    held = F.split(F.lit(",".join(map(str, weights))), ",").cast("array<double>")
+    return F.aggregate("_features", F.lit(0.0), lambda s, f: s + F.get(held, f))
 
 
-def _chance(bias: float, weights: list[float]) -> Column:
-    held = F.split(F.lit(",".join(map(str, weights))), ",").cast("array<double>")
-    odds = F.aggregate("_features", F.lit(bias), lambda s, f: s + F.get(held, f))
+def _sigmoid(odds: Column) -> Column:
     return 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), odds))))
 
 
+def _chance(bias: float, scale: float, weights: list[float]) -> Column:
+    return _sigmoid(bias + scale * _odds(weights))
+
+
 def posteriors(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> DataFrame:
     """`docs` with tokens, p_high, p_low and p_toxic; input columns of these names are replaced."""
     model = _fit(docs, labels, fit_docs)
@@ -167,13 +200,10 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
 
 
 def apply_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
-    """Rows of `docs` as often as their rates say: the fraction becomes a further copy by a hash of the id."""
-    scored = written(posteriors(docs, labels))
-    u = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    copies = F.floor(fit_rates(scored, targets) + u).cast("int")
-    return (
-        scored.withColumn("_copies", copies)
-        .where("_copies > 0")
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-        .select(*docs.columns)
-    )
+    """Rows of `docs` as often as their rates say: the fraction becomes a further copy by a draw for each row."""
+    used = ("doc_id", "text")
+    drawn = F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    scored = written(posteriors(masked(docs, *used), labels).withColumn("drawn", drawn))
+    copies = F.floor(fit_rates(scored, targets) + F.col("drawn")).cast("int")
+    kept = scored.withColumn("copies", copies).where("copies > 0")
+    return unmasked(kept.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))), docs.columns, *used)

@@ -28,12 +28,12 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from procura.llm.common import components, written
-from procura.llm.textcode import chunks, mix64, shingles, word_hashes
+from procura.llm.textcode import column_chunks, mix64, shingles, word_hashes
 
 ROWS_PER_BAND = 5
 MISS = 1e-7
@@ -80,54 +80,69 @@ def _set_key(codes: np.ndarray) -> bytes:
 
 
 def _sign(words: int, bands: int, rows: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch["text"].tolist()
-            sizes, keys, codes = [], [], []
-            for _, _, encoded in chunks(texts):
+            for first, end, encoded in column_chunks(batch.column("text")):
                 hashes, at = word_hashes(encoded, lower=True)
+                sizes, keys, codes = [], [], []
                 for i in range(len(encoded)):
                     own = shingles(hashes[at[i] : at[i + 1]], words)
                     sizes.append(len(own))
                     keys.append(_set_key(own) if len(own) else None)
-                    codes.append(band_codes(signature(own, bands * rows), rows) if len(own) else None)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_shingles": sizes, "set_key": keys, "bands": codes})
+                    if len(own):
+                        codes.append(band_codes(signature(own, bands * rows), rows))
+                has = np.array([k is not None for k in keys])
+                ends = np.concatenate(([0], np.cumsum(has) * bands)).astype(np.int32)
+                flat = pa.array(np.concatenate(codes) if codes else np.zeros(0, np.int64))
+                own = [batch.column(c).slice(first, end - first) for c in ("doc_id", "text_code")]
+                new = [pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), flat)]
+                yield pa.RecordBatch.from_arrays(own + new, names=["doc_id", "text_code", "n_shingles", "set_key", "bands"])
 
     return run
 
 
 def _sets(words: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, wanted = batch["node"].tolist(), batch["set_key"].tolist()
-            for first, end, encoded in chunks(batch["text"].tolist()):
+            nodes, wanted = batch.column("node"), batch.column("set_key")
+            for first, end, encoded in column_chunks(batch.column("text")):
                 hashes, at = word_hashes(encoded, lower=True)
-                out = []
-                for i in range(end - first):
-                    own = shingles(hashes[at[i] : at[i + 1]], words)
-                    if len(own) and _set_key(own) == wanted[first + i]:
-                        out.append((nodes[first + i], own.tobytes()))
-                if out:
-                    yield pd.DataFrame(out, columns=["node", "codes"])
+                own = [shingles(hashes[at[i] : at[i + 1]], words) for i in range(end - first)]
+                right = [len(o) > 0 and _set_key(o) == w.as_py() for o, w in zip(own, wanted.slice(first, end - first), strict=True)]
+                codes = pa.array([o.tobytes() if r else None for o, r in zip(own, right, strict=True)], pa.binary())
+                found = pa.RecordBatch.from_arrays([nodes.slice(first, end - first), codes], names=["node", "codes"])
+                yield found.filter(pa.array(right, pa.bool_()))
 
     return run
 
 
+def _codes(value: pa.BinaryScalar) -> np.ndarray:
+    """The set behind an Arrow value, without a copy."""
+    return np.frombuffer(value.as_buffer(), np.uint64)
+
+
 def _compare(similarity: float, differences: bool):
     """Sizes, intersection and, where asked for, symmetric difference of the sets of each pair."""
     percent = round(similarity * 100)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), _PAIRS):
-                part, out = batch.iloc[at : at + _PAIRS], []
-                for a, b, left, right in zip(part["a"], part["b"], part["codes_a"], part["codes_b"], strict=True):
-                    x, y = np.frombuffer(left, np.uint64), np.frombuffer(right, np.uint64)
+            for at in range(0, batch.num_rows, _PAIRS):
+                part = batch.slice(at, _PAIRS)
+                n_a, n_b, shared, diffs = [], [], [], []
+                for left, right in zip(part.column("codes_a"), part.column("codes_b"), strict=True):
+                    x, y = _codes(left), _codes(right)
                     diff = np.setxor1d(x, y, assume_unique=True)
-                    shared = (len(x) + len(y) - len(diff)) // 2
-                    linked = 100 * shared >= percent * (len(x) + len(y) - shared)
-                    out.append((a, b, len(x), len(y), shared, linked, diff.view(np.int64) if differences else None))
-                yield pd.DataFrame(out, columns=["a", "b", "n_a", "n_b", "shared", "linked", "diff"])
+                    n_a.append(len(x))
+                    n_b.append(len(y))
+                    shared.append((len(x) + len(y) - len(diff)) // 2)
+                    diffs.append(diff.view(np.int64) if differences else None)
+                a, b, both = (np.array(n, dtype=np.int64) for n in (n_a, n_b, shared))
+                linked = 100 * both >= percent * (a + b - both)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("a"), part.column("b"), *map(pa.array, (a, b, both, linked)), pa.array(diffs, pa.list_(pa.int64()))],
+                    names=["a", "b", "n_a", "n_b", "shared", "linked", "diff"],
+                )
 
     return run
 
@@ -140,14 +155,17 @@ def near_duplicates(
     `similarity` counts in whole percent. `kept` marks the row whose doc_id is its component's.
     """
     bands = bands or bands_for(similarity, rows)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_code"))
     signed = written(
-        texts.mapInPandas(
-            _sign(words, bands, rows), "doc_id long, n_shingles long, set_key binary, bands array<long>"
+        texts.mapInArrow(
+            _sign(words, bands, rows), "doc_id long, text_code long, n_shingles long, set_key binary, bands array<long>"
         )
     )
     distinct = signed.where("set_key is not null").groupBy("set_key").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")
+        F.min("doc_id").alias("doc_id"),
+        F.first(F.struct("doc_id", "text_code")).alias("row"),
+        F.first("n_shingles").alias("n"),
+        F.first("bands").alias("bands"),
     )
     nodes = written(distinct.withColumn("node", F.monotonically_increasing_id()))
 
@@ -155,10 +173,12 @@ def near_duplicates(
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("bucket")
     members = written(members.join(shared, "bucket"))
 
-    wanted = members.select("node").distinct().join(nodes.select("node", "doc_id", "set_key"), "node")
-    found = texts.alias("t").join(wanted.alias("w"), F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")))
+    wanted = members.select("node").distinct().join(nodes.select("node", "row", "set_key"), "node")
+    # by id and text, so that rows without an id or with the same one meet their own node only
+    same = F.col("t.doc_id").eqNullSafe(F.col("w.row.doc_id")) & (F.col("t.text_code") == F.col("w.row.text_code"))
+    found = texts.alias("t").join(wanted.alias("w"), same)
     sets = written(
-        found.select("node", "set_key", "text").mapInPandas(_sets(words), "node long, codes binary").dropDuplicates(["node"])
+        found.select("node", "set_key", "text").mapInArrow(_sets(words), "node long, codes binary").dropDuplicates(["node"])
     )
     labels = _link(members, sets, similarity)
 
@@ -169,7 +189,7 @@ def near_duplicates(
     roots = written(of_node.groupBy("label").agg(F.min("doc_id").alias("component_id")))
     by_key = of_node.join(roots, "label").select("set_key", "component_id")
     return (
-        signed.drop("bands")
+        signed.drop("bands", "text_code")
         .join(by_key, "set_key", "left")
         .withColumn("component_id", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
         .select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
@@ -287,7 +307,7 @@ def _compared(pairs: DataFrame, sets: DataFrame, similarity: float, differences:
     left = sets.select(F.col("node").alias("a"), F.col("codes").alias("codes_a"))
     right = sets.select(F.col("node").alias("b"), F.col("codes").alias("codes_b"))
     return written(
-        pairs.join(right, "b").join(left, "a").mapInPandas(
+        pairs.join(right, "b").join(left, "a").mapInArrow(
             _compare(similarity, differences), "a long, b long, n_a long, n_b long, shared long, linked boolean, diff array<long>"
         )
     )

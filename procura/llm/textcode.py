@@ -6,6 +6,8 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _RNG = np.random.default_rng(20240229)
 _BYTE_CODE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
@@ -60,6 +62,17 @@ def chunks(texts: list[str | None]) -> Iterator[tuple[int, int, list[bytes]]]:
         yield first, len(texts), held
 
 
+def column_chunks(texts: pa.Array) -> Iterator[tuple[int, int, list[bytes]]]:
+    """The same of an Arrow column, encoding no more than one run at a time; nulls are empty."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0), dtype=np.int64)
+    total, first = np.cumsum(sizes), 0
+    while first < len(texts):
+        end = max(first + 1, int(np.searchsorted(total, total[first] - sizes[first] + CHUNK_BYTES, side="right")))
+        part = texts.slice(first, end - first).cast(pa.binary() if pa.types.is_string(texts.type) else pa.large_binary())
+        yield first, end, [code or b"" for code in part.to_pylist()]
+        first = end
+
+
 def word_hashes(encoded: list[bytes], lower: bool) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words [^\\x20\\x09-\\x0D]+ of all texts in order, and where each text's words begin.
 

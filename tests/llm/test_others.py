@@ -127,3 +127,27 @@ def test_pipeline_stages(spark):
         docs = out
     final = corpus_pipeline.run(spark, SF)
     assert {"doc_id", "shard", "slot"} <= set(final.columns) and final.count() > 0
+
+
+CLASHES = "score lang_pred code_bits beyond items spans n_words n_hit contaminated tokens p_high _words _copies _letters node component_id shard_".split()
+
+
+def test_pipeline_stages_keep_columns_with_clashing_names(spark):
+    plain = spark.read.parquet(f"{SF}/documents.parquet")
+    docs = plain
+    for i, name in enumerate(CLASHES):
+        docs = docs.withColumn(name, F.concat(F.lit(f"{i}-"), F.col("doc_id")))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out, same = stage(spark, docs, SF), stage(spark, docs.select(plain.columns), SF)
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and all(r[c] == f"{i}-{r.doc_id}" for r in rows for i, c in enumerate(CLASHES)), name
+        if name != "mixing":  # its draws differ between runs
+            assert sorted((r.doc_id, r.lang, r.text) for r in rows) == sorted((r.doc_id, r.lang, r.text) for r in same.collect())
+    assert corpus_pipeline.place_in_shards(spark, docs, SF).count() == docs.count()
+
+
+def test_pipeline_stages_of_an_empty_table(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, SF).count() == 0
