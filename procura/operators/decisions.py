@@ -49,9 +49,8 @@ def apply_offer_decisions(quotes: DataFrame, log: DataFrame, options: DataFrame)
 
     Savings of a manual choice are measured against every option not out of stock.
     """
-    last = _last(log, "action", "offer_id")
     # only the demands somebody decided on are looked up among the options
-    decided = quotes.select("item_id", *DEMAND, "requested_quantity").join(last, "item_id")
+    decided = quotes.select("item_id", *DEMAND, "requested_quantity").join(log, "item_id")
     compared = decided.select(*DEMAND).distinct().join(options, DEMAND)
     most = compared.groupBy(*DEMAND).agg(
         F.max(F.when(c("availability") != "OUT_OF_STOCK", c("total_cost"))).alias("most"), F.count(F.lit(1)).alias("n_options")
@@ -70,11 +69,13 @@ def apply_offer_decisions(quotes: DataFrame, log: DataFrame, options: DataFrame)
         c("total_cost").alias("m_total"),
     )
     made = decided.join(most, DEMAND, "left").join(facts, DEMAND + ["offer_id"], "left")
-    made = made.where(
+    # only valid entries compete to be the last one
+    valid = made.where(
         ((c("action") == "choose") & c("m_total").isNotNull() & (c("quantity") > 0))
         | ((c("action") == "exclude") & (c("n_options") > 0))
     )
-    made = made.select("item_id", c("action").alias("d_action"), c("offer_id").alias("d_offer"), "most", *[x for x in facts.columns if x.startswith("m_")])
+    made = _last(valid, "action", "offer_id", "most", *[x for x in facts.columns if x.startswith("m_")])
+    made = made.withColumnsRenamed({"action": "d_action", "offer_id": "d_offer"})
     d = quotes.join(made, "item_id", "left")
     chosen, excluded = c("d_action") == "choose", c("d_action") == "exclude"
     text = F.concat(

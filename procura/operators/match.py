@@ -349,6 +349,10 @@ def match_texts(
                 c("reasons").alias("v_reasons"),
             )
         )
+        # one admitted verdict a text: the surest, so that repeated ones do not repeat the text
+        told = F.struct("v_decision", "v_confidence", "v_product", "v_generic", "v_reasons")
+        surest = F.struct(F.coalesce("v_confidence", F.lit(-1.0)), "v_decision", F.coalesce("v_product", F.lit("")))
+        judged = judged.groupBy("text", "sector").agg(F.max_by(told, surest).alias("v")).select("text", "sector", "v.*")
         d = d.join(judged, ["text", "sector"], "left")
     else:
         for name, kind in (

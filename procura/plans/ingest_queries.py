@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from procura import schema as SCHEMA
 from procura.operators import catalog as C
 from procura.operators import ingest as I
 from procura.operators import warehouse as WH
@@ -205,6 +206,20 @@ def price_history_changes(spark, sf):
     )
 
 
+def price_chain(spark, sf):
+    """Every price change of every offer, from two loads of yearly lists: the second is seeded by what the first stored."""
+    first = _offer_key_columns(_yearly(spark, sf).where(c("file_seq") < SPLIT_YEAR))
+    nothing = spark.createDataFrame([], SCHEMA.OFFER)
+    stored = cut_lineage(C.upsert_offers(nothing, first)).drop("touched", "is_new")
+    second = _arrived(spark, sf)
+    offers = C.upsert_offers(stored, second)
+    history = C.price_history(nothing, first).unionByName(C.price_history(stored, second))
+    keys = offers.select("offer_id", "supplier_id", "product_id", F.coalesce("expiration_label", F.lit("")).alias("label"))
+    return history.join(keys, "offer_id").select(
+        "supplier_id", "product_id", "label", c("file_seq").cast("long").alias("list_year"), "source_file_id", c("price").cast("double").alias("price")
+    )
+
+
 def product_upsert(spark, sf):
     """Catalogue of even products updated and completed by all products' rows."""
     p = B.products(spark, sf).withColumn("presentation_description", c("standard_name"))
@@ -319,6 +334,7 @@ QUERIES = {
     "preview_rows": preview,
     "offer_upsert": offer_upsert,
     "price_history_changes": price_history_changes,
+    "price_chain": price_chain,
     "product_upsert": product_upsert,
     "warehouse_snapshot": warehouse_snapshot,
     "warehouse_lookup": warehouse_lookup,
@@ -381,6 +397,9 @@ FROM lst l JOIN fst f ON f.supplier_id = l.supplier_id AND f.product_id = l.prod
     "price_history_changes": views(PRICE_ROWS, _YEARLY)
     + f""", h AS (SELECT *, lag(price) OVER (PARTITION BY supplier_id, product_id, expiration_label ORDER BY list_year) AS before FROM yearly)
 SELECT list_year, count(*) AS changes, CAST(sum(price) AS DOUBLE) AS price_sum FROM h WHERE list_year >= {SPLIT_YEAR} AND (before IS NULL OR before <> price) GROUP BY 1""",
+    "price_chain": views(PRICE_ROWS, _YEARLY)
+    + """, h AS (SELECT *, lag(price) OVER (PARTITION BY supplier_id, product_id, expiration_label ORDER BY list_year) AS before FROM yearly)
+SELECT supplier_id, product_id, coalesce(expiration_label, '') AS label, list_year, file_id AS source_file_id, CAST(price AS DOUBLE) AS price FROM h WHERE before IS NULL OR before <> price""",
     "product_upsert": views(PRODUCTS)
     + """, n AS (SELECT generic_key || ' x' || presentation_quantity || ' ' || brand_text AS normalized_name, * FROM products)
 SELECT normalized_name, CASE WHEN bool_or(p_partkey % 2 = 0) THEN 0::BIGINT ELSE 1::BIGINT END AS is_new, 'MEDICAMENTOS' AS sector, arg_max(standard_name, p_partkey) AS standard_name FROM n GROUP BY 1""",

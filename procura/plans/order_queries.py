@@ -63,7 +63,7 @@ def unavailable_lines(spark, sf):
 
 
 def manual_overlay(spark, sf):
-    """Buyers choose the dearest compared offer of some lines and exclude others."""
+    """Buyers choose the dearest compared offer of some lines and exclude others; later entries choose what was never offered."""
     quotes, demands, selection, offers = _quoted(spark, sf)
     options = P.compare_offers(demands, offers)
     dearest = options.where("packages is not null").groupBy(*P.DEMAND).agg(
@@ -79,7 +79,10 @@ def manual_overlay(spark, sf):
         # an earlier decision that the later one replaces
         picked.select("item_id", F.lit("exclude").alias("action"), F.lit(None).cast("string").alias("offer_id"), F.lit(1).alias("decided_at"))
     )
-    d = decisions.apply_offer_decisions(quotes, log, options)
+    unknown = quotes.where(number % 10 < 2).select(
+        "item_id", F.lit("choose").alias("action"), F.lit("none such").alias("offer_id"), F.lit(3).alias("decided_at")
+    )
+    d = decisions.apply_offer_decisions(quotes, log.unionByName(unknown), options)
     return d.select(
         "item_id", "status", F.coalesce("selected_offer_id", F.lit("")).alias("selected_offer_id"),
         F.coalesce(c("total_price").cast("double"), F.lit(-1.0)).alias("total_price"),
@@ -172,6 +175,8 @@ QUERIES = {
 }
 
 _CLIENT = "JOIN orders ON CAST(o_orderkey AS VARCHAR) = q.request_id JOIN customer ON c_custkey = o_custkey"
+#: each computed once; only the open demands' options are joined with their lines
+_ONCE = QUOTED.replace("ranked AS (", "ranked AS MATERIALIZED (").replace("quoted AS (", "quoted AS MATERIALIZED (")
 _LABEL = """CASE availability WHEN 'OUT_OF_STOCK' THEN 'Sin existencias' WHEN 'UNKNOWN' THEN 'Disponibilidad no confirmada'
   ELSE CASE WHEN stock_quantity IS NOT NULL THEN 'Disponible: ' || stock_quantity || ' unidades' ELSE 'Disponible' END END"""
 
@@ -195,11 +200,11 @@ FROM quoted q {_CLIENT} WHERE status = 'SELECTED'""",
     + f"""SELECT item_id, c_name AS client_name, p.standard_name AS product_name, CAST(requested_quantity AS BIGINT) AS requested_quantity,
   CAST(least(requested_quantity, warehouse_stock) AS BIGINT) AS covered, CAST(quantity AS BIGINT) AS pending
 FROM quoted q JOIN products p USING (product_id) {_CLIENT} WHERE warehouse_stock > 0""",
-    "unavailable_lines": QUOTED
+    "unavailable_lines": _ONCE
     + f"""SELECT item_id, c_name AS client_name, p.standard_name AS product_name, r.supplier_name, r.offer_id, coalesce(r.discard_reason, 'x') AS availability_label,
   CAST(r.price AS DOUBLE) AS package_price, CAST(q.quantity AS BIGINT) AS pending, CAST(coalesce(r.stock_quantity, -1) AS BIGINT) AS stock_rank
-FROM quoted q JOIN products p ON p.product_id = q.product_id {_CLIENT}
-JOIN ranked r ON r.generic_key = q.generic_key AND r.quantity = q.quantity AND r.asked_size = q.asked_size WHERE q.status = 'NO_STOCK'""",
+FROM (SELECT * FROM quoted WHERE status = 'NO_STOCK') q JOIN products p ON p.product_id = q.product_id {_CLIENT}
+JOIN (SELECT * FROM ranked WHERE pool_size = 0) r ON r.generic_key = q.generic_key AND r.quantity = q.quantity AND r.asked_size = q.asked_size""",
     "manual_overlay": QUOTED
     + """, dear AS (SELECT generic_key, quantity, asked_size, arg_max(offer_id, (total_cost, offer_id)) AS d_offer, max(total_cost) AS d_total,
   max(total_cost) FILTER (availability <> 'OUT_OF_STOCK') AS most FROM ranked GROUP BY 1, 2, 3),
