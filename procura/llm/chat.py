@@ -6,13 +6,16 @@ placeholder; its reference and the number of tokens it expands to are recorded.
 written as `<|im_start|>role`, a line feed, the content, `<|im_end|>` and a line feed.
 
 Control strings inside contents are escaped by one more backslash in every `<`, backslashes,
-`|`, so that no `<|` is left; roles escape backslashes and line feeds. Both are undone
+`|`, so that no `<|` is left; roles escape backslashes, line feeds and `<|`. Both are undone
 exactly when the output is read back.
 
 Formatting works row by row without a shuffle. A whole conversation is the concatenation of
 its segments by turn; reading back sorts segments by conversation and turn and streams over
 them with running digests, so that a conversation of any length needs only constant memory.
 
+Only the three known kinds name their placeholder; a part of any other kind becomes an
+`attachment`, whose kind the recorded reference still tells, so no kind can write a turn.
+
 Defined cases: null text or null parts is an empty content; a null role is the empty role;
 rows with equal turns are ordered by their segments; a null conv_id is a conversation of its
 own; null turns come first. Other columns of the input are ignored.
@@ -33,6 +36,8 @@ PART = "struct<kind:string,text:string,ref:string,width:long,height:long,units:l
 IMAGE_TILE = 28
 AUDIO_UNITS_PER_TOKEN = 40
 DOCUMENT_UNITS_PER_TOKEN = 4
+KINDS = ("image", "audio", "document")
+OTHER_KIND = "attachment"
 START, END = "<|im_start|>", "<|im_end|>"
 
 _TURN = re.compile(r"<\|im_start\|>([^\n]*)\n(.*?)<\|im_end\|>\n", re.DOTALL)
@@ -55,7 +60,8 @@ def escape(text: Column) -> Column:
 
 
 def _escape_role(role: Column) -> Column:
-    return F.replace(F.replace(role, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n"))
+    plain = F.replace(F.replace(role, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n"))
+    return F.replace(plain, F.lit("<|"), F.lit("<\\|"))
 
 
 def _role_back(role: str) -> str:
@@ -75,7 +81,8 @@ def _expanded(part: Column) -> Column:
 
 def _visit(state: Column, part: Column) -> Column:
     is_text = F.coalesce(part["kind"], F.lit("text")) == "text"
-    holder = F.concat(F.lit("<|"), part["kind"], F.lit("_"), (F.size(state["refs"]) + 1).cast("string"), F.lit("|>"))
+    name = F.when(part["kind"].isin(*KINDS), part["kind"]).otherwise(OTHER_KIND)
+    holder = F.concat(F.lit("<|"), name, F.lit("_"), (F.size(state["refs"]) + 1).cast("string"), F.lit("|>"))
     ref = F.struct(
         (F.size(state["refs"]) + 1).alias("number"), part["kind"].alias("kind"), part["ref"].alias("ref"), _expanded(part).alias("tokens")
     )
