@@ -48,17 +48,14 @@ def page_captures(pages):
 
 
 def page_lists(pages):
-    """A dated list over what `pages` holds: hosts, sites and path prefixes, listed, withdrawn and listed again.
-
-    A url without a path makes no prefix: the SQL of op6 lets a prefix match by a first segment only.
-    """
+    """A dated list over what `pages` holds: hosts, sites and path prefixes (a url without a path: its host alone), listed, withdrawn and listed again."""
     start = F.lit("2023-01-01").cast("date")
     host = url_lists.host_of(F.col("url"))
-    known = pages.select("page_id", host.alias("host"), F.regexp_extract("url", r"^[^:]+://[^/?#]*/([^/?#]+)", 1).alias("first"))
+    known = pages.select("page_id", host.alias("host"), F.regexp_extract("url", r"^[^:]+://[^/?#]*/+([^/?#]+)", 1).alias("first"))
     patterns = [
         ("host", F.col("host"), 5),
         ("domain", F.regexp_extract("host", r"([^.]+\.[^.]+\.[^.]+)$", 1), 11),
-        ("prefix", F.when(F.col("first") != "", F.concat_ws("/", "host", "first")), 7),
+        ("prefix", F.when(F.col("first") != "", F.concat_ws("/", "host", "first")).otherwise(F.col("host")), 7),
     ]
     entries = None
     for kind, pattern, every in patterns:
@@ -170,7 +167,7 @@ SELECT doc_id, size::BIGINT AS size, 'key' AS law, (CASE rack {_LEAF} END)::INTE
 
 _OP6 = r"""
 WITH p AS (SELECT page_id, url, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1)) AS host,
-    regexp_extract(url, '^[^:]+://[^/?#]*/([^/?#]+)', 1) AS first FROM pages),
+    regexp_extract(url, '^[^:]+://[^/?#]*/+([^/?#]+)', 1) AS first FROM pages),
 c AS (SELECT page_id, host, DATE '2023-01-01' + (page_id * 37 % 730)::INTEGER AS fetched,
     lower(host || '/' || first) AS prefix, first FROM p),
 k AS (SELECT 'host' AS kind, host AS pattern, min(page_id) AS m, 5 AS every FROM p WHERE host <> '' GROUP BY 2
@@ -183,7 +180,7 @@ d AS (SELECT kind, lower(pattern) AS pattern, day, max(action) AS action FROM (
     UNION ALL SELECT kind, pattern, 'add', DATE '2023-01-01' + (m % 300 + 200 + m % 53)::INTEGER FROM e) GROUP BY 1, 2, 3),
 v AS (SELECT kind, pattern, action, day AS a, coalesce(lead(day) OVER (PARTITION BY kind, pattern ORDER BY day), DATE '9999-12-31') AS b FROM d),
 h AS (SELECT c.page_id, v.kind, v.pattern, v.a FROM c JOIN v ON v.action = 'add' AND c.fetched >= v.a AND c.fetched < v.b
-    AND ((v.kind = 'host' AND c.host = v.pattern) OR (v.kind = 'prefix' AND c.first <> '' AND c.prefix = v.pattern)) WHERE c.host <> ''
+    AND ((v.kind = 'host' AND c.host = v.pattern) OR (v.kind = 'prefix' AND (c.host = v.pattern OR (c.first <> '' AND c.prefix = v.pattern)))) WHERE c.host <> ''
   UNION ALL SELECT c.page_id, v.kind, v.pattern, v.a FROM (SELECT page_id, fetched, unnest(list_transform(range(1, len(string_split(host, '.')) + 1),
     lambda i: array_to_string(string_split(host, '.')[i:], '.'))) AS d FROM c WHERE host <> '') c
     JOIN v ON v.kind = 'domain' AND v.action = 'add' AND c.d = v.pattern AND c.fetched >= v.a AND c.fetched < v.b),

@@ -3,11 +3,12 @@
 import hashlib
 from datetime import date
 
+import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from procura.llm import chat, multi_index, url_lists
+from procura.llm import chat, multi_index, queries, url_lists
 
 SF = "/root/testdata/sf0.001"
 
@@ -92,6 +93,21 @@ def test_prefixes_of_a_host_and_past_empty_segments(spark):
         assert sorted((r.id, r.blocked) for r in url_lists.filter_urls(captures, entries).collect()) == wanted
 
 
+def test_url_query_and_sql_agree_on_hosts_and_empty_segments(spark, tmp_path):
+    tails = ["", "/", "//ads", "/ads", "///ads//x?q=/y", "?a=/b", "/#f/g", "/Ads/x"]
+    rows = [(n, f"http://{'u@' * (n % 2)}{'W' * (n % 3 == 0)}h{n % 23}.site{n % 5}.org{tails[n % 8]}") for n in range(400)] + [(400, None), (401, "no url"), (402, "http:///x")]
+    spark.createDataFrame(rows, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    found = queries.op6_temporal_url_lists(spark, str(tmp_path))
+    lists = queries.page_lists(spark.read.parquet(f"{tmp_path}/pages.parquet"))
+    assert lists.where("kind = 'prefix' and pattern not like '%/%'").count() > 0
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    wanted = con.execute(queries.ORACLES["op6_temporal_url_lists"])
+    names = [d[0] for d in wanted.description]
+    assert sorted(map(repr, map(tuple, found.select(*names).collect()))) == sorted(map(repr, wanted.fetchall()))
+    assert {r.matched_kind for r in found.collect()} == {"prefix", "host", "domain", None}
+
+
 def _exact(rows, k=5):
     ids = np.array([i for i, _ in rows])
     v = np.array([x for _, x in rows])
