@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from procura.functions.text import is_safe_expiration, search_typo_limit, word_tokens
 from procura.operators.pricing import is_measured, latest_files
 from procura.operators.similarity import typo_pairs
+from procura.session import cut_lineage
 
 c = F.col
 SEARCH_RESULTS = 8
@@ -57,13 +58,44 @@ def browse_offers(offers: DataFrame, supplier_id: str, text: str = "") -> DataFr
     )
 
 
-def offers_page(rows: DataFrame, sort: str = "product", descending: bool = False, page: int = 1, limit: int = 50) -> DataFrame:
-    """One page; text sorts use Spanish order without case or accents, ties by offer id."""
+def _page_order(sort: str, descending: bool) -> list[Column]:
     field = SORTS.get(sort, SORTS["product"])
-    size, number = min(200, max(1, limit)), max(1, page)
     key = c(field) if field == "unit_price" else F.collate(F.coalesce(c(field), F.lit("")), "es_CI_AI")
-    ordered = rows.orderBy(key.desc() if descending else key.asc(), c("offer_id").asc())
-    return ordered.offset((number - 1) * size).limit(size)
+    return [key.desc() if descending else key.asc(), c("offer_id").asc()]
+
+
+def _page_bounds(page: int, limit: int) -> tuple[int, int]:
+    size = min(200, max(1, limit))
+    return (max(1, page) - 1) * size, size
+
+
+def offers_page(rows: DataFrame, sort: str = "product", descending: bool = False, page: int = 1, limit: int = 50) -> DataFrame:
+    """One page; text sorts use Spanish order without case or accents, ties by offer id."""
+    first, size = _page_bounds(page, limit)
+    return rows.orderBy(*_page_order(sort, descending)).offset(first).limit(size)
+
+
+def ranked_page(rows: DataFrame, sort: str = "product", descending: bool = False, page: int = 1, limit: int = 50) -> tuple[DataFrame, int]:
+    """The same page with `position` (from 1) among all rows, and the number of rows; for pages at any depth.
+
+    Rows are dealt into ranges of the order and counted; only the ranges that the page
+    touches are sorted, so a deep page neither sorts all rows nor passes those before it
+    through one task. One count a range reaches the driver.
+    """
+    first, size = _page_bounds(page, limit)
+    order = _page_order(sort, descending)
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut_lineage(rows.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()))
+    counts = {r["_range"]: r["n"] for r in dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).collect()}
+    starts, total = {}, 0
+    for number in sorted(counts):
+        starts[number], total = total, total + counts[number]
+    touched = [n for n in starts if starts[n] < first + size and starts[n] + counts[n] > first]
+    skipped = starts[touched[0]] if touched else 0
+    inside = dealt.where(c("_range").isin(touched)).orderBy(*order).offset(first - skipped if touched else 0).limit(size)
+    # at most 200 rows are numbered
+    place = F.row_number().over(Window.orderBy(*order)) + first
+    return inside.withColumn("position", place.cast("long")).drop("_range"), total
 
 
 def search_products(products: DataFrame, queries: DataFrame, limit: int = SEARCH_RESULTS) -> DataFrame:

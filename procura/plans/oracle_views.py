@@ -83,7 +83,10 @@ OPTIONS = """
 opts AS (
   SELECT d.quantity, d.asked_size, r.*,
          CAST(ceil(d.quantity * CASE WHEN asked_size < 0 THEN 1.0 ELSE asked_size END / presentation_quantity::DOUBLE) AS BIGINT) AS packages
-  FROM demands d JOIN rich r USING (generic_key)),
+  FROM demands d JOIN rich r USING (generic_key))"""
+
+#: what follows from `opts`, the pairs of a demand and an offer with their packages
+CHOSEN = """
 priced AS (
   SELECT *, CAST(price * packages AS DECIMAL(24,2)) AS total_cost,
          CASE availability WHEN 'OUT_OF_STOCK' THEN false WHEN 'UNKNOWN' THEN true ELSE NOT (stock_quantity IS NOT NULL AND stock_quantity < packages) END AS eligible,
@@ -114,4 +117,4 @@ def views(*parts: str) -> str:
     return "WITH " + ",".join(parts) + "\n"
 
 
-PRICING = (PRODUCTS, PRICE_ROWS, OFFERS, LATEST, CURRENT, ENRICHED, WAREHOUSE, ITEMS, NET, DEMANDS, OPTIONS)
+PRICING = (PRODUCTS, PRICE_ROWS, OFFERS, LATEST, CURRENT, ENRICHED, WAREHOUSE, ITEMS, NET, DEMANDS, OPTIONS, CHOSEN)

@@ -25,67 +25,81 @@ def is_quantity(cell: Column) -> Column:
 
 
 def request_columns(grid: DataFrame, scan: int = 10, sample: int = 30) -> DataFrame:
-    """Per file: header_row (null if none), product, quantity and client columns."""
-    filled = F.size(F.filter("cells", lambda x: x.isNotNull() & (trim_text(cell_text(x)) != "")))
-    has_qty = F.exists("cells", lambda x: x.isNotNull() & is_quantity(x))
-    top = grid.where(c("row_no") < scan).select("file_id", "row_no", filled.alias("filled"), has_qty.alias("has_qty"))
-    first_data = top.groupBy("file_id").agg(F.min(F.when(c("has_qty"), c("row_no"))).alias("first_data"))
+    """Per file: header_row (null if none), product, quantity and client columns.
+
+    Only a file's first `scan` + `sample` rows can count; they meet in one shuffle by file,
+    and all later groups are made of rows that lie together already.
+    """
+    row = F.struct("row_no", "cells")
+    leading = grid.where(c("row_no") < scan + sample).groupBy("file_id").agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    text_of = lambda x: trim_text(cell_text(x))
+    filled = lambda r: F.size(F.filter(r["cells"], lambda x: x.isNotNull() & (text_of(x) != "")))
+    has_qty = lambda r: F.exists(r["cells"], lambda x: x.isNotNull() & is_quantity(x))
+    top = F.filter("rows", lambda r: r["row_no"] < scan)
+    first_data = F.array_min(F.transform(F.filter("top", has_qty), lambda r: r["row_no"]))
+    titles = F.filter("top", lambda r: (filled(r) >= 2) & (c("first_data").isNull() | (r["row_no"] < c("first_data"))))
+    header = F.element_at(F.filter("rows", lambda r: r["row_no"] == c("header_row")), 1)["cells"]
+    start = F.coalesce(c("header_row"), F.lit(-1))
     heads = (
-        top.join(first_data, "file_id")
-        .groupBy("file_id")
-        .agg(F.max(F.when((c("filled") >= 2) & (c("first_data").isNull() | (c("row_no") < c("first_data"))), c("row_no"))).alias("header_row"))
+        leading.withColumn("top", top)
+        .where(F.size("top") > 0)
+        .withColumn("first_data", first_data)
+        .withColumn("header_row", F.array_max(F.transform(titles, lambda r: r["row_no"])))
+        .withColumn("header", F.when(c("header_row").isNotNull(), header))
+        .withColumn("rows", F.filter("rows", lambda r: (r["row_no"] > start) & (r["row_no"] <= start + sample)))
+        .withColumn("n_rows", F.size("rows"))
     )
-    start = F.coalesce(c("header_row"), F.lit(-1))
-    rows = grid.join(heads, "file_id").where((c("row_no") > start) & (c("row_no") <= start + sample))
-    cells = rows.select("file_id", "row_no", F.posexplode("cells").alias("col", "cell")).where(c("cell").isNotNull())
-    text = trim_text(cell_text(c("cell")))
-    n_rows = rows.groupBy("file_id").agg(F.count(F.lit(1)).alias("n_rows"))
-    stats = (
-        cells.withColumns({"t": text, "qty": is_quantity(c("cell"))})
+    # a file without a row below its title still has an answer
+    per_row = heads.select("file_id", "header_row", "header", "n_rows", F.explode_outer("rows").alias("r"))
+    cells = per_row.select("file_id", "header_row", "header", "n_rows", F.posexplode_outer("r.cells").alias("col", "cell"))
+    t, kept = text_of(c("cell")), c("cell").isNotNull()
+    name = F.lower(F.coalesce(text_of(F.get("header", c("col"))), F.lit("")))
+    named = F.lit(False)
+    for word in CLIENT_HEADERS:
+        named = named | name.contains(word)
+    per_column = (
+        cells.withColumns({"t": t, "qty": F.when(kept, is_quantity(c("cell"))), "kept": kept, "named": named})
         .groupBy("file_id", "col")
         .agg(
+            F.first("header_row").alias("header_row"),
+            F.first("n_rows").alias("n_rows"),
+            F.max("kept").alias("kept"),
+            F.max("named").alias("named"),
             F.avg(c("qty").cast("double")).alias("qty_share"),
             F.sum(F.length("t")).alias("chars"),
             F.count_if(c("t") != "").alias("n_text"),
             F.avg(F.when(c("t") != "", F.length("t"))).alias("mean_chars"),
             F.count_distinct(F.when(c("t") != "", F.lower("t"))).alias("n_distinct"),
         )
-        .join(n_rows, "file_id")
-    )
-    qty = stats.groupBy("file_id").agg(
-        F.max_by(F.when(c("qty_share") > 0.5, c("col")), F.when(c("qty_share") > 0.5, F.struct("qty_share", -c("col")))).alias("quantity_column")
     )
-    rest = stats.join(qty, "file_id").where(~c("col").eqNullSafe(c("quantity_column")))
-    product = rest.groupBy("file_id").agg(F.max_by("col", F.struct(c("chars") / c("n_rows"), -c("col"))).alias("product_column"))
-    others = rest.join(product, "file_id").where(c("col") != c("product_column"))
-    header = (
-        grid.join(heads.where(c("header_row").isNotNull()), "file_id")
-        .where(c("row_no") == c("header_row"))
-        .select("file_id", F.posexplode("cells").alias("col", "cell"))
-        .where(c("cell").isNotNull())
+    fields = F.struct("col", "named", "qty_share", "chars", "n_text", "mean_chars", "n_distinct")
+    files = per_column.groupBy("file_id").agg(
+        F.first("header_row").alias("header_row"),
+        F.first("n_rows").alias("n_rows"),
+        F.collect_list(F.when(c("kept"), fields)).alias("columns"),
     )
-    alias = F.lower(trim_text(cell_text(c("cell"))))
-    named = F.lit(False)
-    for word in CLIENT_HEADERS:
-        named = named | alias.contains(word)
-    by_header = others.join(header.where(named).select("file_id", "col"), ["file_id", "col"]).groupBy("file_id").agg(F.min("col").alias("by_header"))
-    repeat = 1 - c("n_distinct") / c("n_text")
-    by_repeat = (
-        others.where((c("n_text") >= 2) & (c("mean_chars") <= 40))
-        .withColumn("repeat", repeat)
-        .where(c("repeat") > 0.3)
-        .groupBy("file_id")
-        .agg(F.max_by("col", F.struct("repeat", -c("col"))).alias("by_repeat"))
-    )
-    d = heads
-    for part in (product, qty, by_header, by_repeat):
-        d = d.join(part, "file_id", "left")
-    return d.select(
-        "file_id",
-        "header_row",
-        F.coalesce("product_column", F.lit(0)).alias("product_column"),
-        "quantity_column",
-        F.coalesce("by_header", "by_repeat").alias("client_column"),
+
+    def best(columns: Column, *by) -> Column:
+        """Number of the column with the largest values, of equal ones the first."""
+        return -F.array_max(F.transform(columns, lambda x: F.struct(*[f(x).alias(f"by{i}") for i, f in enumerate(by)], (-x["col"]).alias("col"))))["col"]
+
+    other = lambda name: F.filter("columns", lambda x: ~x["col"].eqNullSafe(c(name)))
+    repeat = lambda x: 1 - F.try_divide(x["n_distinct"], x["n_text"])
+    repeated = lambda x: (x["n_text"] >= 2) & (x["mean_chars"] <= 40) & (repeat(x) > 0.3)
+    by_header = F.array_min(F.transform(F.filter("columns", lambda x: x["named"]), lambda x: x["col"]))
+    by_repeat = best(F.filter("columns", repeated), repeat)
+    return (
+        files.withColumn("quantity_column", best(F.filter("columns", lambda x: x["qty_share"] > 0.5), lambda x: x["qty_share"]))
+        .withColumn("columns", other("quantity_column"))
+        .withColumn("product_column", best(c("columns"), lambda x: x["chars"] / c("n_rows")))
+        .withColumn("columns", other("product_column"))
+        .select(
+            "file_id",
+            "header_row",
+            F.coalesce("product_column", F.lit(0)).alias("product_column"),
+            "quantity_column",
+            F.coalesce(by_header, by_repeat).alias("client_column"),
+        )
     )
 
 
