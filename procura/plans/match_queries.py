@@ -257,9 +257,12 @@ def _search_oracle(raw: str) -> str:
 _SEARCH_OUT = """SELECT raw, k AS ingredient_key, generics, CAST(min(tier) AS BIGINT) AS tier, bool_or(via_synonym) AS via_synonym
 FROM allhits JOIN ckeys USING (k) GROUP BY 1, 2, 3"""
 
-_MATCH = views(
+#: views of the matching, in the order in which they build on each other
+CATALOGUE = (
     PRODUCTS, PRICE_ROWS, OFFERS,
     """vars AS (SELECT ingredient_key, generic_key, concentration, dosage_form, min(product_id) AS product_id FROM products GROUP BY ALL)""",
+)
+_ASKED = (
     """rq AS (SELECT DISTINCT CASE p_partkey % 5
         WHEN 0 THEN upper(p_name) || ' ' || CASE WHEN p_type IN ('STANDARD','SMALL','ECONOMY') THEN 'TAB' ELSE 'CAPS' END || ' ' || CAST(50*(1+p_size%5) AS VARCHAR) || 'MG X' || CAST(10*(1+p_partkey%5) AS VARCHAR)
         WHEN 1 THEN upper(p_name) || ' ' || CAST(50*(1+p_size%5) AS VARCHAR) || 'MG'
@@ -271,12 +274,18 @@ _MATCH = views(
         CASE WHEN p_partkey % 5 IN (1,4) THEN 'No especificada' WHEN p_type IN ('STANDARD','SMALL','ECONOMY') THEN 'Tableta' ELSE 'Cápsula' END AS form,
         CASE p_partkey % 5 WHEN 0 THEN 10*(1+p_partkey%5) WHEN 2 THEN 10 ELSE -1 END AS asked
       FROM part)""",
+)
+EXACT = (
     """r AS (SELECT *, array_to_string(list_sort(string_split(name,' ')),' ') AS qk FROM rq)""",
     """exact AS (SELECT text, arg_min(p.product_id, (CASE WHEN asked > 0 AND p.presentation_quantity <> asked THEN 1 ELSE 0 END, p.product_id)) AS product_id
       FROM r JOIN products p ON p.ingredient_key = qk AND p.concentration = dose AND p.dosage_form = form GROUP BY 1)""",
     """keys AS (SELECT DISTINCT ingredient_key AS k FROM products)""",
+)
+FITS = (
     """fits AS (SELECT DISTINCT qk, k, qk = k AS same FROM (SELECT DISTINCT qk FROM r) JOIN keys ON k = qk
         OR (qk NOT IN (SELECT k FROM keys) AND levenshtein(qk, k) <= greatest(1, length(qk)//7)))""",
+)
+DECIDED = (
     """sc AS (SELECT r.text, r.dose, r.form, v.*, same,
         coalesce(v.concentration = r.dose, false) AS strong,
         CASE WHEN r.dose IS NULL THEN 0.0::DOUBLE ELSE
@@ -292,6 +301,7 @@ _MATCH = views(
         e.product_id AS exact_id, best_score, strong_best, strong_score
       FROM r LEFT JOIN exact e USING (text) LEFT JOIN agg a USING (text))""",
 )
+_MATCH = views(*CATALOGUE, *_ASKED, *EXACT, *FITS, *DECIDED)
 
 ORACLES = {
     "extract_attributes": """
