@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from procura import schema as S
 from procura.functions.once import spread
 from procura.functions.text import generic_key_aliases, generic_key_from, ingredient_key, normalize_text, trim_text
 from procura.operators.extract import extract_attributes
 from procura.operators.match import expand_synonyms
+from procura.sources.store import TableStore
 
 c = F.col
 
@@ -31,6 +33,16 @@ def warehouse_snapshot(lines: DataFrame) -> DataFrame:
     )
 
 
+def store_snapshot(store: TableStore, lines: DataFrame, updated_at: Column, batch: str = "") -> None:
+    """Replace the stored stock by the snapshot of `lines`; a reader of the earlier one is not disturbed."""
+    snapshot = warehouse_snapshot(lines).select("generic_key", "quantity", "raw_product_name", updated_at.cast("timestamp").alias("updated_at"))
+    store.commit({"warehouse": snapshot}, batch)
+
+
+def stored_stock(store: TableStore) -> DataFrame:
+    return store.read("warehouse", S.WAREHOUSE)
+
+
 def warehouse_report(lines: DataFrame, snapshot: DataFrame) -> DataFrame:
     keys = snapshot.agg(F.count(F.lit(1)).alias("n")).scalar()
     rows = lines.where(trim_text(c("text")) != "").agg(F.count(F.lit(1)).alias("total_rows"))

@@ -163,3 +163,21 @@ def validate_requests(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     judged = items.withColumn("rejected_for", reason)
     return judged.where(c("rejected_for").isNull()).drop("rejected_for"), judged.where(c("rejected_for").isNotNull())
+
+
+def validate_whole_requests(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(lines of accepted requests, rejected requests): one bad line rejects all lines of its request.
+
+    A rejected request has the reason of its first bad line (by line_no) and their number;
+    lines without a request id count as one request. A client name of its own must not be empty.
+    """
+    accepted, wrong = validate_requests(items)
+    if "client_name" in items.columns:
+        nameless = F.coalesce(c("client_name") == "", F.lit(False))
+        wrong = wrong.unionByName(accepted.where(nameless).withColumn("rejected_for", F.lit("client")))
+        accepted = accepted.where(~nameless)
+    rejected = wrong.groupBy("request_id").agg(
+        F.min_by("rejected_for", F.struct("line_no", "rejected_for")).alias("rejected_for"), F.count(F.lit(1)).alias("bad_lines")
+    )
+    known = rejected.select(c("request_id").alias("_rejected"))
+    return accepted.join(known, c("request_id").eqNullSafe(c("_rejected")), "left_anti"), rejected

@@ -1,4 +1,4 @@
-"""Columns of request lists against a plain reference on random sheets; pages at any depth."""
+"""Columns of request lists against a plain reference on random sheets; whole requests; pages at any depth; replaced stock."""
 
 import random
 from fractions import Fraction
@@ -6,9 +6,11 @@ from fractions import Fraction
 from pyspark.sql import functions as F
 
 from procura.functions.vocab import CLIENT_HEADERS
-from procura.operators.browse import offers_page, ranked_page
+from procura.operators.browse import offers_page, ranked_page, warehouse_list
+from procura.operators import warehouse as WH
 from procura.sources import requests as R
 from procura.sources import sheets as S
+from procura.sources.store import TableStore
 
 WORDS = ["Cliente", "Producto", "", "  ", None, "12", "5", "ACETAMINOFEN 500", "ibuprofeno tab", "Norte", "Norte", "3.5", "x"]
 
@@ -89,3 +91,29 @@ def test_pages_at_any_depth(spark):
         assert [n for n, _ in got] == list(range(50 * (page - 1) + 1, 50 * (page - 1) + 1 + len(wanted)))
     found, total = ranked_page(offers.limit(0))
     assert total == 0 and found.count() == 0
+
+
+def test_one_bad_line_rejects_the_request(spark):
+    good = ("Hospital", "ASEO", "x", 2, None)
+    rows = [("a", 1, *good), ("a", 2, *good), ("b", 1, *good), ("b", 3, "Hospital", "ASEO", "", 2, None), ("b", 2, "Hospital", "ASEO", "x", 0, None)]
+    rows += [(None, 1, *good), (None, None, "", "ASEO", "x", 2, None), ("c", 1, "Hospital", "ASEO", "x", 2, ""), ("d", 1, None, None, None, None, None)]
+    items = spark.createDataFrame(
+        rows, "request_id string, line_no int, customer_name string, sector string, original_text string, requested_quantity int, client_name string"
+    )
+    accepted, rejected = R.validate_whole_requests(items)
+    assert sorted((r.request_id, r.line_no) for r in accepted.collect()) == [("a", 1), ("a", 2)] and accepted.columns == items.columns
+    got = {r.request_id: (r.rejected_for, r.bad_lines) for r in rejected.collect()}
+    assert got == {"b": ("quantity", 2), None: ("customer", 1), "c": ("client", 1), "d": ("customer", 1)}
+    plain, none = R.validate_whole_requests(items.drop("client_name").where("request_id in ('a', 'c')"))
+    assert plain.count() == 3 and none.count() == 0
+
+
+def test_a_snapshot_replaces_the_stored_stock(spark, tmp_path):
+    store = TableStore(spark, f"{tmp_path}/s")
+    assert warehouse_list(WH.stored_stock(store)).count() == 0
+    lines = lambda *rows: spark.createDataFrame(rows, "text string, row_no long, quantity double")
+    WH.store_snapshot(store, lines(("cosa rara", 1, 3.0), ("otra", 2, 0.0), (None, 3, 1.0)), F.lit("2024-01-01 00:00:00"))
+    WH.store_snapshot(store, lines(("Guantes", 1, 2.4), ("guantes", 2, None), ("Gasas", 3, 5.0), ("  ", 4, 9.0)), F.lit("2024-02-01 00:00:00"))
+    found = [(r.generic_key, r.quantity, r.product_name, str(r.updated_at)) for r in warehouse_list(WH.stored_stock(store)).collect()]
+    assert found == [("gasas", 5, "Gasas", "2024-02-01 00:00:00"), ("guantes", 2, "guantes", "2024-02-01 00:00:00")]
+    assert [r.generic_key for r in warehouse_list(WH.stored_stock(store), "GUA").collect()] == ["guantes"]
