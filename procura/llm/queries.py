@@ -141,30 +141,6 @@ QUERIES = {
     )
 }
 
-_DRAW = "ln((('0x' || substr(md5({key} || '/{name}'), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0) / {weight}"
-
-
-def _best(key: str, children: dict[str, float]) -> str:
-    """SQL for the child with the largest draw."""
-    names = sorted(children)
-    draws = [_DRAW.format(key=key, name=n, weight=children[n]) for n in names]
-    if len(names) == 1:
-        return f"'{names[0]}'"
-    cases = " ".join(f"WHEN greatest({', '.join(draws)}) = {d} THEN '{n}'" for d, n in zip(draws, names, strict=True))
-    return f"CASE {cases} END"
-
-
-_KEY = "coalesce(doc_id::VARCHAR, '')"
-_REGION, _GROWN = {"region0": 4.0, "region1": 4.0}, {"region0": 4.0, "region1": 4.0, "region-of-8": 1.0}
-_RACK = " ".join(f"WHEN '{r}' THEN {_best(_KEY, {f'rack{2 * i}': 2.0, f'rack{2 * i + 1}': 2.0})}" for i, r in enumerate(sorted(_REGION)))
-_LEAF = " ".join(f"WHEN 'rack{i}' THEN {_best(_KEY, {str(2 * i): 1.0, str(2 * i + 1): 1.0})}" for i in range(4))
-_OP3 = f"""
-WITH r AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size, {_best(_KEY, _REGION)} AS region, {_best(_KEY, _GROWN)} AS grown FROM documents),
-k AS (SELECT *, CASE region {_RACK} END AS rack, CASE grown {_RACK} END AS grown_rack FROM r)
-SELECT doc_id, size::BIGINT AS size, 'key' AS law, (CASE rack {_LEAF} END)::INTEGER AS shard,
-  (CASE grown WHEN 'region-of-8' THEN '8' ELSE CASE grown_rack {_LEAF} END END)::INTEGER AS grown_shard FROM k
-"""
-
 _OP6 = r"""
 WITH p AS (SELECT page_id, url, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1)) AS host,
     regexp_extract(url, '^[^:]+://[^/?#]*/+([^/?#]+)', 1) AS first FROM pages),

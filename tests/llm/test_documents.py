@@ -1,6 +1,7 @@
 """Document operators against plain Python on small fixtures with nulls, empties, copies and ties."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -265,6 +266,23 @@ def test_shards(docs, rows, empty):
     assert shards.shard(empty).count() == 0
 
 
+def test_shards_follow_plain_draws(spark):
+    def plain(key, node):
+        while isinstance(node, dict):
+            weight = lambda x: sum(map(weight, x.values())) if isinstance(x, dict) else x
+            draw = lambda name, w: (math.log((int(hashlib.md5(f"{key}/{name}".encode()).hexdigest()[:13], 16) + 0.5) / 2.0**52) / w, str(name))
+            choice = max(node, key=lambda name: draw(name, weight(node[name])))
+            if not isinstance(node[choice], dict):
+                return choice
+            node = node[choice]
+
+    docs = spark.range(700).select(F.when(F.col("id") > 0, F.col("id") * 7919 - 900).alias("doc_id"), F.lit("t").alias("text"))
+    tree = shards.regular_tree(8)
+    for r in shards.shard(docs).collect():
+        key = "" if r.doc_id is None else str(r.doc_id)
+        assert (r.shard, r.grown_shard) == (plain(key, tree), plain(key, shards.with_new_region(tree, 8)))
+
+
 def test_weights_move_rows_only_where_they_change(spark):
     keys = spark.range(4000).select(F.col("id").cast("string").alias("k"))
     old = {"r0": {"a": {0: 1.0, 1: 1.0}, "b": {2: 2.0}}, "r1": {"c": {3: 1.0}, "d": {4: 3.0}}}
