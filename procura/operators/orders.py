@@ -112,9 +112,3 @@ def write_orders(lines: DataFrame, path: str, fmt: str = "parquet") -> None:
         writer.option("header", True).csv(path)
     else:
         writer.parquet(path)
-
-
-def write_comparisons(options: DataFrame, path: str, batch: str) -> None:
-    """Replace the stored comparison of one request batch, leaving the others in place."""
-    tagged = options.withColumn("batch", F.lit(batch))
-    tagged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
