@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from procura.operators import browse, catalog, decisions, orders
+from procura.operators import browse, catalog, decisions, orders, search
 from procura.operators import pricing as P
 from procura.plans import bridge as B
 from procura.plans.oracle_views import CURRENT, ENRICHED, ITEMS, LATEST, OFFERS, PRICE_ROWS, PRODUCTS, views
@@ -122,6 +122,18 @@ def product_search(spark, sf):
     return browse.search_products(B.products(spark, sf), asked).select("query", c("rank").cast("long").alias("rank"), "product_id")
 
 
+def sector_search(spark, sf):
+    """Single words and forms, which many names hold, searched in one sector and in all; a tenth of the catalogue is inactive."""
+    number = c("p_partkey")
+    word = F.split("p_name", " ")[0]
+    text = F.when(number % 3 == 0, word).when(number % 3 == 1, F.concat(F.lit("tab "), word)).otherwise(F.concat(F.lit("mg"), F.lit(" "), F.substring(word, 2, 100)))
+    sector = F.when(number % 2 == 0, "ASEO").when(number % 5 == 0, "*")
+    asked = B.table(spark, sf, "part").select(text.alias("query"), sector.alias("sector")).distinct()
+    listed = B.products(spark, sf).withColumn("status", F.when(c("product_id").cast("long") % 10 == 9, "INACTIVE").otherwise(c("status")))
+    found = search.search_products(listed, asked)
+    return found.select("query", c("asked_sector").alias("sector"), c("rank").cast("long").alias("rank"), "product_id", "exact", c("distance").cast("long").alias("distance"))
+
+
 def supplier_registration(spark, sf):
     """Half of the names are taken (in other case), some name no sector."""
     known = B.suppliers(spark, sf)
@@ -172,6 +184,7 @@ QUERIES = {
     "supplier_offer_counts": supplier_offer_counts,
     "browse_page": browse_page,
     "product_search": product_search,
+    "sector_search": sector_search,
 }
 
 _CLIENT = "JOIN orders ON CAST(o_orderkey AS VARCHAR) = q.request_id JOIN customer ON c_custkey = o_custkey"
@@ -233,4 +246,16 @@ pb AS (SELECT query, w, any_value(n) AS n, product_id, any_value(standard_name)
 ty AS (SELECT query, product_id, any_value(standard_name) AS standard_name, 1 AS tier, CAST(sum(d) AS INTEGER) AS d FROM pb GROUP BY query, product_id HAVING count(*) = any_value(n))
 SELECT query, row_number() OVER (PARTITION BY query ORDER BY tier, d, standard_name, product_id) AS rank, product_id FROM (
   SELECT * FROM ex UNION ALL SELECT * FROM ty WHERE (query, product_id) NOT IN (SELECT (query, product_id) FROM ex)) QUALIFY rank <= 8""",
+    "sector_search": views(PRODUCTS)
+    + """, act AS (SELECT * FROM products WHERE p_partkey % 10 <> 9),
+qs AS (SELECT DISTINCT CASE p_partkey % 3 WHEN 0 THEN string_split(p_name,' ')[1] WHEN 1 THEN 'tab ' || string_split(p_name,' ')[1] ELSE 'mg ' || string_split(p_name,' ')[1][2:] END AS query,
+  CASE WHEN p_partkey % 2 = 0 THEN 'ASEO' ELSE '*' END AS sec FROM part),
+ex AS (SELECT query, sec, product_id, standard_name, 0 AS tier, 0 AS d FROM qs JOIN act ON contains(lower(standard_name), query) AND (sec = '*' OR sec = sector)),
+qw AS (SELECT query, sec, len(regexp_split_to_array(query, '[^a-z0-9]+')) AS n, unnest(regexp_split_to_array(query, '[^a-z0-9]+')) AS w FROM qs),
+pw AS (SELECT product_id, standard_name, sector, unnest(regexp_split_to_array(lower(standard_name), '[^a-z0-9]+')) AS word FROM act),
+nr AS (SELECT w, word, levenshtein(w, word) AS d FROM (SELECT DISTINCT w FROM qw) JOIN (SELECT DISTINCT word FROM pw) ON levenshtein(w, word) <= greatest(2, ceil(length(w)/3.0))),
+pb AS (SELECT query, sec, w, any_value(n) AS n, product_id, any_value(standard_name) AS standard_name, min(d) AS d FROM qw JOIN nr USING (w) JOIN pw USING (word) WHERE sec = '*' OR sec = sector GROUP BY query, sec, w, product_id),
+ty AS (SELECT query, sec, product_id, any_value(standard_name) AS standard_name, 1 AS tier, CAST(sum(d) AS INTEGER) AS d FROM pb GROUP BY query, sec, product_id HAVING count(*) = any_value(n))
+SELECT query, sec AS sector, row_number() OVER (PARTITION BY query, sec ORDER BY tier, d, standard_name, product_id) AS rank, product_id, tier = 0 AS exact, CAST(d AS BIGINT) AS distance FROM (
+  SELECT * FROM ex UNION ALL SELECT * FROM ty WHERE (query, sec, product_id) NOT IN (SELECT (query, sec, product_id) FROM ex)) QUALIFY rank <= 8""",
 }
