@@ -50,6 +50,28 @@ def extract_attribute_rows(spark, sf):
     )
 
 
+def written_doses(spark, sf):
+    """Every product with its dose written in one of eight ways: folded and implied units, mixed masses, slashed names, small and large volumes."""
+    n, ing, w = c("p_partkey") % 8, F.upper("p_name"), F.split(F.upper("p_name"), " ")
+    pair, strength, pack = F.concat(w[1], F.lit(" + "), w[0]), _strength(), (10 * (1 + c("p_partkey") % 5)).cast("string")
+    text = (
+        F.when(n == 0, F.concat(ing, F.lit(" 1GR TAB X"), pack))
+        .when(n == 1, F.concat(ing, F.lit(" 2EMQ/ML SOLUCION INYECTABLE CAJA X "), pack))
+        .when(n == 2, F.concat(ing, F.lit(" "), strength, F.lit("/0.4 AMPOLLAS SOLUCION INYECTABLE CAJA X "), pack))
+        .when(n == 3, F.concat(pair, F.lit(" 2.5G+20MG TAB X"), pack))
+        .when(n == 4, F.concat(w[1], F.lit("/"), w[0], F.lit(" "), strength, F.lit("MG TAB X"), pack))
+        .when(n == 5, F.concat(ing, F.lit(" "), strength, F.lit("MG/1.750ML SUSPENSION INYECTABLE JERPREX1.750ML CX1")))
+        .when(n == 6, F.concat(pair, F.lit(" "), strength, F.lit("+25MG TAB X"), pack))
+        .otherwise(F.concat(ing, F.lit(" 0,9% SOLUCION INYECTABLE FRASCO X 1.000ML")))
+    )
+    a, d = c("attrs"), B.table(spark, sf, "part").select(c("p_partkey").alias("id"), text.alias("text"))
+    return extract_attributes(spread(d), "text", True).select(
+        "id",
+        *[a[f].alias(f) for f in ("active_ingredient", "concentration", "concentration_unit", "dosage_form", "presentation_unit", "generic_key")],
+        a["presentation_quantity"].cast("long").alias("presentation_quantity"),
+    )
+
+
 def normalized_documents(spark, sf):
     d = B.table(spark, sf, "documents")
     norm = T.normalize_text(c("text"))
@@ -144,6 +166,22 @@ def _branded(spark, sf):
     return B.products(spark, sf).withColumn("standard_name", F.concat("standard_name", brand))
 
 
+def sector_match(spark, sf):
+    """Names searched in one sector of a catalogue with inactive products, most of them mistyped: one found in another sector only is not found."""
+    number, name = c("p_partkey"), c("p_name")
+    raw = F.when(number % 4 == 0, name).when(number % 4 == 1, F.split(name, " ")[1]).otherwise(F.concat(F.substring(name, 1, 2), F.substring(name, 4, 100)))
+    sector = F.when(number % 3 == 0, "ASEO").when(number % 3 == 1, "MEDICAMENTOS").otherwise(M.ANY_SECTOR)
+    searches = B.table(spark, sf, "part").select(raw.alias("raw"), sector.alias("sector")).distinct()
+    first = F.substring(c("ingredient_key"), 1, 1)
+    listed = B.products(spark, sf).withColumns(
+        {"sector": F.when(first < "g", "ASEO").otherwise(c("sector")), "status": F.when(c("product_id").cast("long") % 5 < 3, "ACTIVE").otherwise("INACTIVE")}
+    )
+    found = M.search_names(searches, listed, synonyms(spark, sf))
+    return found.groupBy("raw", c("asked_sector").alias("sector"), "ingredient_key").agg(
+        F.count_distinct("generic_key").cast("long").alias("generics"), F.min("tier").cast("long").alias("tier")
+    )
+
+
 def brand_match(spark, sf):
     raw = F.concat(F.lit("zyquabrnd"), F.regexp_replace("p_brand", "[^0-9]", ""))
     return _hits(spark, sf, raw, _branded(spark, sf))
@@ -212,6 +250,7 @@ def candidate_top8(spark, sf):
 
 QUERIES = {
     "extract_attributes": extract_attribute_rows,
+    "written_doses": written_doses,
     "normalize_text": normalized_documents,
     "word_tokens": document_words,
     "ingredient_key": ingredient_keys,
@@ -224,6 +263,7 @@ QUERIES = {
     "subset_match": subset_match,
     "fuzzy_match": fuzzy_match,
     "brand_match": brand_match,
+    "sector_match": sector_match,
     "exact_match": exact_match,
     "rate_equivalents": rate_equivalent_keys,
     "match_decisions": match_decisions,
@@ -358,4 +398,30 @@ top AS (SELECT text, generic_key, br, o[2] AS product_id, -o[1] AS score, row_nu
 st AS (SELECT *, product_id IN (SELECT product_id FROM offers WHERE availability = 'AVAILABLE') AS in_stock FROM top),
 ms AS (SELECT *, bool_or(in_stock) OVER (PARTITION BY text) AS any_stock FROM st)
 SELECT text, position, product_id, generic_key, score, in_stock FROM ms WHERE br = 'one' OR in_stock OR NOT any_stock""",
+    "written_doses": """
+WITH p AS (SELECT p_partkey AS id, p_partkey % 8 AS n, upper(p_name) AS ing, string_split(p_name,' ') AS w, CAST(50*(1+p_size%5) AS VARCHAR) AS s, CAST(10*(1+p_partkey%5) AS BIGINT) AS pk FROM part),
+x AS (SELECT id, n, array_to_string(list_sort(w), ' ') AS ik,
+  CASE WHEN n IN (3, 6) THEN upper(array_to_string(list_sort(w), ' + ')) WHEN n = 4 THEN upper(w[2] || ' + ' || w[1]) ELSE ing END AS active_ingredient,
+  CASE n WHEN 0 THEN '1' WHEN 1 THEN '2' WHEN 2 THEN s || '/0.4' WHEN 3 THEN CASE WHEN w[2] <= w[1] THEN '2.5/0.02' ELSE '0.02/2.5' END WHEN 4 THEN s
+    WHEN 5 THEN s || '/1.75' WHEN 6 THEN CASE WHEN w[2] <= w[1] THEN s || '/25' ELSE '25/' || s END ELSE '0.9' END AS concentration,
+  CASE n WHEN 0 THEN 'G' WHEN 1 THEN 'MEQ' WHEN 2 THEN 'MG/ML' WHEN 3 THEN 'G' WHEN 5 THEN 'MG/ML' WHEN 7 THEN '%' ELSE 'MG' END AS concentration_unit,
+  CASE WHEN n IN (1, 2, 5, 7) THEN 'Inyectable' ELSE 'Tableta' END AS dosage_form,
+  CASE WHEN n IN (1, 2) THEN 'ampollas' WHEN n IN (5, 7) THEN 'ml' ELSE 'tabletas' END AS presentation_unit,
+  CAST(CASE n WHEN 5 THEN 2 WHEN 7 THEN 1000 ELSE pk END AS BIGINT) AS presentation_quantity FROM p)
+SELECT id, active_ingredient, concentration, concentration_unit, dosage_form, presentation_unit,
+  ik || ' ' || concentration || ' ' || lower(concentration_unit) || ' ' || lower(dosage_form) AS generic_key, presentation_quantity FROM x""",
+    "sector_match": views(
+        PRODUCTS,
+        "act AS (SELECT * REPLACE (CASE WHEN ingredient_key[1] < 'g' THEN 'ASEO' ELSE sector END AS sector) FROM products WHERE p_partkey % 5 < 3)",
+        "sectors AS (SELECT unnest(['ASEO', 'MEDICAMENTOS', '*']) AS sec)",
+        """ckeys AS (SELECT ingredient_key AS k, sec, count(DISTINCT generic_key) AS generics FROM act JOIN sectors ON sec = '*' OR sec = sector GROUP BY ALL)""",
+        """raws AS (SELECT DISTINCT CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN string_split(p_name,' ')[2] ELSE p_name[1:2] || p_name[4:] END AS raw,
+          CASE p_partkey % 3 WHEN 0 THEN 'ASEO' WHEN 1 THEN 'MEDICAMENTOS' ELSE '*' END AS sec FROM part)""",
+        "q AS (SELECT *, array_to_string(list_sort(string_split(raw,' ')),' ') AS qk FROM raws)",
+        """t1 AS (SELECT raw, sec, k, generics FROM q JOIN ckeys USING (sec) WHERE k = qk OR (abs(len(string_split(k,' ')) - len(string_split(qk,' '))) BETWEEN 1 AND 2
+             AND (list_has_all(string_split(k,' '), string_split(qk,' ')) OR list_has_all(string_split(qk,' '), string_split(k,' ')))))""",
+        """t2 AS (SELECT raw, sec, k, generics FROM q JOIN ckeys USING (sec) WHERE levenshtein(qk, k) <= greatest(1, length(qk)//7)
+             AND (raw, sec) NOT IN (SELECT (raw, sec) FROM t1))""",
+    )
+    + """SELECT raw, sec AS sector, k AS ingredient_key, generics, 1::BIGINT AS tier FROM t1 UNION ALL SELECT raw, sec, k, generics, 2::BIGINT FROM t2""",
 }
