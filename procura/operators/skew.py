@@ -11,16 +11,17 @@ MAX_HOT_KEYS = 4096
 HOT_ROWS = 2_000_000
 
 
-def hot_keys(df: DataFrame, on: Sequence[str]) -> DataFrame | None:
-    """Keys with more than max(HOT_ROWS, total / MAX_HOT_KEYS) rows, with their salt count.
+def hot_keys(df: DataFrame, on: Sequence[str], least: int | None = None) -> DataFrame | None:
+    """Keys with more than max(`least`, total / MAX_HOT_KEYS) rows, with their salt count.
 
     Fewer than MAX_HOT_KEYS keys can exceed that share whatever the input size, so the
     result may be collected and broadcast; the salts of all keys add up to less than
     twice that number. One narrow scan with map-side counts; call it on a stored table.
-    None when no key is hot. `procura.hot.rows` in the session overrides HOT_ROWS.
+    None when no key is hot. `least` is HOT_ROWS or `procura.hot.rows` of the session
+    unless given: below it a key's rows fit one task and salting only costs.
     """
     spark = df.sparkSession
-    floor_rows = int(spark.conf.get("procura.hot.rows", str(HOT_ROWS)))
+    floor_rows = int(spark.conf.get("procura.hot.rows", str(HOT_ROWS))) if least is None else least
     total = df.count()
     if total <= floor_rows:
         return None

@@ -248,6 +248,12 @@ def candidate_top8(spark, sf):
     )
 
 
+def match_notes(spark, sf):
+    """What the best candidate of every open or refused text has in common with it: strength, form, package."""
+    best = F.get(F.filter("reasons", lambda x: x.startswith("Mejor candidato: ")), F.lit(0))
+    return _matched(spark, sf).matches.select("text", "decision", best.alias("note")).where("note is not null")
+
+
 QUERIES = {
     "extract_attributes": extract_attribute_rows,
     "written_doses": written_doses,
@@ -268,6 +274,7 @@ QUERIES = {
     "rate_equivalents": rate_equivalent_keys,
     "match_decisions": match_decisions,
     "candidate_top8": candidate_top8,
+    "match_notes": match_notes,
 }
 
 _KEYS = "ckeys AS (SELECT ingredient_key AS k, count(DISTINCT generic_key) AS generics FROM products GROUP BY 1)"
@@ -424,4 +431,10 @@ SELECT id, active_ingredient, concentration, concentration_unit, dosage_form, pr
              AND (raw, sec) NOT IN (SELECT (raw, sec) FROM t1))""",
     )
     + """SELECT raw, sec AS sector, k AS ingredient_key, generics, 1::BIGINT AS tier FROM t1 UNION ALL SELECT raw, sec, k, generics, 2::BIGINT FROM t2""",
+    "match_notes": _MATCH
+    + """SELECT d.text, CASE br WHEN 'review' THEN 'REVIEW' ELSE 'NO_MATCH' END AS decision, 'Mejor candidato: ' || p.standard_name || ' ('
+  || CASE WHEN coalesce(p.concentration = r.dose, false) THEN 'misma concentración' ELSE 'concentración distinta' END || ', '
+  || CASE WHEN p.dosage_form = r.form THEN 'misma forma farmacéutica' ELSE 'forma farmacéutica distinta' END || ', '
+  || CASE WHEN p.presentation_quantity = r.asked AND p.dosage_form = r.form THEN 'misma presentación' ELSE 'presentación distinta' END || ').' AS note
+FROM dec d JOIN r ON r.text = d.text JOIN agg ON agg.text = d.text JOIN products p ON p.product_id = agg.best WHERE br IN ('review', 'no')""",
 }

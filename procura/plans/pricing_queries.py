@@ -131,6 +131,20 @@ def top20_alternatives(spark, sf):
     )
 
 
+def salted_offers(spark, sf):
+    """All priced rows with supplier and product facts, every key above a 4096th of the rows salted; per supplier and form."""
+    rows = B.price_rows(spark, sf).withColumn("offer_id", F.xxhash64("file_id", "product_id", "row_order"))
+    by_supplier, by_product = hot_keys(rows.select("supplier_id"), ["supplier_id"], 0), hot_keys(rows.select("product_id"), ["product_id"], 0)
+    rows = rows.withColumn("unit_price_as_imported", F.lit(None).cast("decimal(14,4)"))
+    rich = P.enriched_offers(rows, B.products(spark, sf), B.suppliers(spark, sf), by_product, by_supplier)
+    return rich.groupBy("supplier_name", "dosage_form").agg(
+        F.count(F.lit(1)).cast("long").alias("n"),
+        F.count_if("safe").cast("long").alias("n_safe"),
+        F.sum("unit_price").cast("double").alias("unit_prices"),
+        F.sum("price").cast("double").alias("prices"),
+    )
+
+
 def unit_prices(spark, sf):
     return rich_offers(spark, sf).select("offer_id", money("unit_price"), "safe")
 
@@ -177,6 +191,7 @@ QUERIES = {
     "compared_options": compared_options,
     "top20_alternatives": top20_alternatives,
     "unit_prices": unit_prices,
+    "salted_offers": salted_offers,
     "quote_reasons": quote_reasons,
     "quote_totals": quote_totals,
 }
@@ -214,6 +229,9 @@ FROM chosen c LEFT JOIN pref p USING (generic_key, quantity, asked_size) WHERE s
 SELECT generic_key, CAST(quantity AS BIGINT) AS quantity, CAST(asked_size AS BIGINT) AS asked_size, offer_id, least(pos, 21) AS position,
   CAST(unit_price AS DOUBLE) AS unit_price, CAST(total_cost AS DOUBLE) AS total_cost, (rk = 1 AND in_pool) AS selected
 FROM pos WHERE pos <= 20 OR (rk = 1 AND in_pool)""",
+    "salted_offers": views(PRODUCTS, PRICE_ROWS, ENRICHED.replace("FROM curr o", "FROM price_rows o"))
+    + """SELECT supplier_name, p.dosage_form, count(*) AS n, count(*) FILTER (safe) AS n_safe, CAST(sum(unit_price) AS DOUBLE) AS unit_prices, CAST(sum(price) AS DOUBLE) AS prices
+FROM rich JOIN products p USING (product_id) GROUP BY 1, 2""",
     "unit_prices": _BASE + "SELECT offer_id, CAST(unit_price AS DOUBLE) AS unit_price, safe FROM rich",
     "quote_reasons": QUOTED
     + f"""SELECT item_id, CASE
