@@ -29,7 +29,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from procura.llm.common import written
@@ -85,6 +85,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _small(part: str) -> bool:
+    """Whether a part of an address is at most 255, however many zeros it begins with."""
+    digits = part.lstrip("0")
+    return len(digits) <= 3 and int(digits or "0") <= 255
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind number, end) of the fixed forms, sorted."""
     out = [(a, 0, b) for a, b in emails(text)] if "@" in text else []
@@ -94,7 +100,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
             out.append((m.start(), 2, m.end()))
     if "." in text:
         for m in _IP.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+            if all(_small(p) for p in m[0].split(".")):
                 out.append((m.start(), 1, m.end()))
     if "+" in text:
         for m in _PHONE.finditer(text):
@@ -202,7 +208,7 @@ def _outside(places: list[tuple[int, int]], taken: list[tuple[int, int]]) -> lis
 
 
 _SCAN = (
-    "row long, doc_id long, base array<struct<start:long,kind:int,end:long>>, "
+    "row long, doc_id string, base array<struct<start:long,kind:int,end:long>>, "
     "seen array<struct<start:long,end:long,instance:string,kinds:array<int>,seed:boolean,patterns:array<string>>>"
 )
 
@@ -265,8 +271,10 @@ def _apart(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def find_pii(docs: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """(doc_id, base, added) of every row of `docs` (doc_id, text): arrays of (start, kind number, end)."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    scanned = written(rows.mapInPandas(_scan, _SCAN))
+    # ids travel as text: pandas would make floats of a batch of numbers with a null
+    doc_id = F.col("doc_id").cast("long").cast("string").alias("doc_id")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), doc_id, "text")
+    scanned = written(rows.mapInPandas(_scan, _SCAN).withColumn("doc_id", F.col("doc_id").cast("long")))
     seen = scanned.where("size(seen) > 0").select("row", F.explode("seen").alias("s")).select("row", "s.*")
     new = _graph(seen, support, confidence)
     places = (
@@ -290,7 +298,11 @@ def pii_digest(found: DataFrame) -> DataFrame:
     def joined(spans):
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", names[s["kind"]], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    def counted(kind: int) -> Column:
+        # of one argument only: a second one would be the place in the array
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+
+    counts = [counted(k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return found.select(
         "doc_id",
         *counts,

@@ -338,6 +338,20 @@ def test_pii(spark, empty):
     assert pii.find_pii(empty).count() == 0
 
 
+def test_pii_counts_every_kind_and_keeps_ids(spark):
+    texts = ["1.2.3.4 a@b.co c@d.ef +1 2025550143", "x a@b.co", "0" * 5000 + ".1.2.3", None, "4111 1111 1111 1111 or +1 2025550143"]
+    ids = [2**60 + 1, 2**60 + 2, 2**60 + 3, None, 2**60 + 5]
+    docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r for r in pii.pii_digest(pii.find_pii(docs)).collect()}
+    assert set(got) == set(ids)
+    want = {0: (2, 1, 0, 1), 1: (1, 0, 0, 0), 2: (0, 1, 0, 0), 3: (0, 0, 0, 0), 4: (0, 0, 1, 1)}
+    for i, counts in want.items():
+        r = got[ids[i]]
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == counts, texts[i]
+        if i != 2:  # Python's own int() refuses so many digits
+            assert r.base_sha256 == hashlib.sha256(brute_pii(texts[i]).encode()).hexdigest()
+
+
 def test_pii_discovers_usual_spellings(spark):
     seeds = [f"my phone: +1 555 123 456{i} today" for i in range(9)] + [f"dial tel:+1555123456{i} now" for i in range(9)]
     seeds += [f"from ip: 10.0.0.{i} there" for i in range(9)]
