@@ -98,26 +98,36 @@ def ranked_page(rows: DataFrame, sort: str = "product", descending: bool = False
     return inside.withColumn("position", place.cast("long")).drop("_range"), total
 
 
+def firsts_of_names(products: DataFrame, limit: int, *name: str) -> DataFrame:
+    """Of products alike in `name` the `limit` with the smallest ids; lists that end ties by id and hold `limit` rows need no more."""
+    w = Window.partitionBy(*name).orderBy("product_id")
+    return products.withColumn("_place", F.row_number().over(w)).where(c("_place") <= limit).drop("_place")
+
+
 def search_products(products: DataFrame, queries: DataFrame, limit: int = SEARCH_RESULTS) -> DataFrame:
     """Typo-tolerant catalogue search for many queries at once: (query, rank, product_id, ..).
 
     Substring hits come first by name, then products in which every query word has a word
     within its limit, by summed distance. Typo hits start from the query's rarest matching
-    word only; the other words are checked on that row. The catalogue is searched whole.
+    word only; the other words are checked on that row. The catalogue is searched whole: of
+    products with one name those behind `limit` others are in no list and are left out first.
+    The catalogue's side of a join is shuffled, never broadcast.
     """
     active = products.where(c("status") == "ACTIVE").select("product_id", "standard_name")
+    active = cut_lineage(firsts_of_names(active, limit, "standard_name"))
     asked = queries.select(F.trim("query").alias("query")).where(F.length("query") >= 2).distinct()
     lists = asked.withColumn("q_words", word_tokens(c("query"))).where(F.size("q_words") > 0)
     q_words = lists.select("query", "q_words", F.explode(F.array_distinct("q_words")).alias("q_word"))
     tokens = active.withColumn("words", word_tokens(c("standard_name")))
     postings = tokens.select("product_id", "standard_name", "words", F.explode(F.array_distinct("words")).alias("word"))
-    vocabulary = postings.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    vocabulary = cut_lineage(postings.groupBy("word").agg(F.count(F.lit(1)).alias("df")))
     near = typo_pairs(
         q_words.select(c("q_word").alias("key")).distinct(),
         vocabulary.select(c("word").alias("key")),
         search_typo_limit,
         lambda n: F.floor((n + 1) * 3 / 2).cast("int") + 2,
-    ).select(c("query").alias("q_word"), c("candidate").alias("word"))
+    )
+    near = cut_lineage(near.select(c("query").alias("q_word"), c("candidate").alias("word")))
     weight = near.join(vocabulary, "word").groupBy("q_word").agg(F.sum("df").alias("reach"))
     rarest = (
         q_words.join(weight, "q_word", "left")
@@ -125,7 +135,7 @@ def search_products(products: DataFrame, queries: DataFrame, limit: int = SEARCH
         .agg(F.min_by(F.struct("q_word", "q_words"), F.struct(F.coalesce("reach", F.lit(0)), "q_word")).alias("r"))
         .select("query", "r.q_word", "r.q_words")
     )
-    reached = rarest.join(near, "q_word").join(postings, "word").select("query", "q_words", "product_id", "standard_name", "words").distinct()
+    reached = rarest.join(near, "q_word").join(postings.hint("merge"), "word").select("query", "q_words", "product_id", "standard_name", "words").distinct()
     best = F.transform("q_words", lambda q: F.struct(
         F.array_min(F.transform("words", lambda w: F.levenshtein(q, w))).alias("d"), search_typo_limit(F.length(q)).alias("k")))
     typo = (
@@ -161,7 +171,7 @@ def substring_hits(active: DataFrame, asked: DataFrame, gram: int = 2) -> DataFr
         .groupBy("query")
         .agg(F.min_by("gram", F.struct(F.coalesce("df", F.lit(0)), "gram")).alias("gram"))
     )
-    return probes.join(names, "gram").where(F.lower("standard_name").contains(F.lower("query"))).select("query", "product_id", "standard_name")
+    return probes.join(names.hint("merge"), "gram").where(F.lower("standard_name").contains(F.lower("query"))).select("query", "product_id", "standard_name")
 
 
 def warehouse_list(stock: DataFrame, text: str = "") -> DataFrame:

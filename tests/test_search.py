@@ -2,6 +2,7 @@
 
 import random
 
+from procura.operators import browse
 from procura.operators import search as S
 
 PRODUCT = "product_id string, standard_name string, status string, sector string"
@@ -65,3 +66,21 @@ def test_search_in_an_empty_catalogue_and_for_nothing(spark):
     assert S.search_products(none, asked).count() == 0
     assert S.search_products(some, asked.limit(0)).count() == 0
     assert [r.product_id for r in S.search_products(some, asked).collect()] == ["1"]
+
+
+def test_equal_names_beyond_the_list_are_left_out(spark):
+    rows = [(f"p{i:03}", "TAB LOSARTAN" if i < 50 else "TAB SUERO", "ACTIVE", "A" if i % 2 else "B") for i in range(60)]
+    listed = spark.createDataFrame(rows, PRODUCT)
+    assert browse.firsts_of_names(listed, 8, "sector", "standard_name").count() == 26
+    asked = spark.createDataFrame([("losartan",), ("tab",), ("losrtan",)], "query string")
+    for query in ("losartan", "tab", "losrtan"):
+        want = [pid for pid, *_ in scan(rows, query, None, 8)]
+        for found in (S.search_products(listed, asked), browse.search_products(listed, asked)):
+            assert [r.product_id for r in found.where(f"query = '{query}'").orderBy("rank").collect()] == want
+
+
+def test_the_catalogue_is_never_broadcast(spark):
+    listed = spark.createDataFrame([("p1", "TAB LOSARTAN", "ACTIVE", "A")], PRODUCT)
+    found = browse.substring_hits(listed, spark.createDataFrame([("tab",)], "query string"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "rightHint=(strategy=merge)" in plan
