@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from procura.functions.once import add_once
 from procura.functions.text import search_typo_limit, word_tokens
+from procura.operators.browse import firsts_of_names
 from procura.operators.match import ANY_SECTOR
 from procura.operators.similarity import typo_pairs
 from procura.session import cut_lineage
@@ -41,9 +42,10 @@ def _words(text: Column) -> Column:
     return F.array_distinct(word_tokens(text))
 
 
-def _dealt(products: DataFrame) -> DataFrame:
-    """Active products with the chunk of names they lie in."""
+def _dealt(products: DataFrame, limit: int) -> DataFrame:
+    """Active products that a list of `limit` may hold, with the chunk of names they lie in."""
     active = products.where(c("status") == "ACTIVE").select("product_id", F.coalesce("standard_name", F.lit("")).alias("standard_name"), "sector")
+    active = cut_lineage(firsts_of_names(active, limit, "sector", "standard_name"))
     ranges = int(products.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = active.repartitionByRange(ranges, "standard_name", "product_id").withColumn("_range", F.spark_partition_id())
     place = F.row_number().over(Window.partitionBy("_range").orderBy("standard_name", "product_id"))
@@ -119,7 +121,7 @@ def search_products(products: DataFrame, queries: DataFrame, limit: int = RESULT
     """
     sector = F.coalesce("sector", F.lit(ANY_SECTOR)) if "sector" in queries.columns else F.lit(ANY_SECTOR)
     asked = queries.select(F.trim("query").alias("query"), sector.alias("asked_sector")).where(F.length("query") >= 2).distinct()
-    dealt = cut_lineage(_dealt(products))
+    dealt = cut_lineage(_dealt(products, limit))
     name = c("standard_name")
     keys = F.concat(F.transform(_words(name), lambda w: F.concat(F.lit("w:"), w)), _grams(name))
     postings = dealt.select(F.explode(keys).alias("key"), "sector", "chunk", "product_id")
