@@ -1,5 +1,6 @@
 """Buckets, appended tables and their commits."""
 
+from procura.session import cut_lineage
 from procura.sources.store import TableStore
 
 ROWS = "key string, value int"
@@ -35,3 +36,10 @@ def test_appended_tables_grow_and_are_compacted(spark, tmp_path):
     assert [r.value for r in store.read("a", ROWS).collect()] == [9]
     store.commit({}, "nothing", merged={"empty": (rows(1).limit(0), ["key"])})
     assert store.committed("nothing") and store.read("empty", ROWS).count() == 0
+
+
+def test_cut_points_are_stored_by_column(spark):
+    rows = spark.createDataFrame([(1, [("a", None)]), (2, None)], "id int, cells array<struct<s:string,n:double>>")
+    cut = cut_lineage(rows.where("id > 0"))
+    assert all(f.endswith(".parquet") for f in cut.inputFiles()) and cut.inputFiles()
+    assert cut.schema == rows.schema and sorted(cut.collect()) == sorted(rows.collect())
