@@ -62,3 +62,17 @@ def test_money_expiry_and_limits(spark):
         T.ingredient_typo_limit(F.lit(6)), T.ingredient_typo_limit(F.lit(21)), T.search_typo_limit(F.lit(10)), T.half_up(F.lit(1.005), 2),
     )
     assert got == ("$ 1.234.568", "$ 33,33", True, False, False, 1, 3, 4, 1.0)
+
+
+def test_spaces_of_every_kind_are_trimmed_and_collapsed(spark):
+    kinds = list(" \t\n\u000b\f\r\u00a0\u1680\u2000\u2003\u200a\u2028\u2029\u202f\u205f\u3000\ufeff")
+    rows = [(s, f"{s}{s}a{s} b{s}") for s in kinds] + [(" ", "a  b"), ("", "áÑ"), (None, None)]
+    d = spark.createDataFrame(rows, "s string, t string")
+    got = d.select("s", "t", T.trim_text(F.col("t")).alias("x"), T.normalize_text(F.col("t")).alias("y")).collect()
+    for r in got:
+        if r.t is None:
+            assert r.x is None and r.y is None
+        elif r.t == "áÑ":
+            assert (r.x, r.y) == ("áÑ", "an")
+        else:
+            assert (r.x, r.y) == (r.t.strip("".join(kinds)), "a b")
