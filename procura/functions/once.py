@@ -16,12 +16,12 @@ def add_once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select(*kept, F.explode(F.array(value)).alias(name))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Keep full parallelism for a CPU-heavy stage over few bytes.
+def spread(df: DataFrame, *key: str) -> DataFrame:
+    """Keep full parallelism for a CPU-heavy stage over few bytes; with a `key`, equal ones lie together.
 
     Adaptive execution merges partitions by size; parsing costs far more per byte than it
     assumes, so the number of tasks is fixed here.
     """
     spark = df.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return df.repartition(tasks)
+    return df.repartition(tasks, *key)

@@ -518,7 +518,9 @@ def matched_products(matches: DataFrame, products: DataFrame) -> DataFrame:
     keys = own.withColumn("generic_key", c("matched_generic_key")).unionByName(
         own.join(family, "matched_generic_key").withColumnRenamed("member_key", "generic_key")
     )
-    return keys.join(known, "generic_key").where(_in_sector("sector", "found_sector")).select("text", "sector", "product_id").distinct()
+    # the catalogue is shuffled, not broadcast, and repeated rows go in as many tasks as there are
+    found = keys.join(known.hint("merge"), "generic_key").where(_in_sector("sector", "found_sector"))
+    return spread(found.select("text", "sector", "product_id"), "product_id").distinct()
 
 
 def resolve_items(items: DataFrame, matches: DataFrame, hot_texts: DataFrame | None = None) -> DataFrame:

@@ -5,8 +5,10 @@ import random
 from pyspark.sql import functions as F
 
 from procura.functions.text import ingredient_typo_limit, search_typo_limit
+from procura.operators import match
 from procura.operators.match import _long_query
 from procura.operators.similarity import subset_pairs, typo_pairs
+from procura.plans import bridge
 
 
 def distance(a, b):
@@ -71,3 +73,12 @@ def test_subset_pairs_with_repeated_words(spark):
         return set(few) <= set(many)
 
     assert got == {(q, x) for q in set(queries) for x in set(cands) if fits(q, x)}
+
+
+def test_a_family_has_each_product_once_and_its_catalogue_is_not_broadcast(spark):
+    products = bridge.products(spark, "/root/testdata/sf0.001")
+    matches = products.select(F.col("standard_name").alias("text"), F.lit(match.ANY_SECTOR).alias("sector"), F.col("generic_key").alias("matched_generic_key"))
+    found = match.matched_products(matches.distinct(), products.unionAll(products))
+    assert "rightHint=(strategy=merge)" in found._jdf.queryExecution().optimizedPlan().toString()
+    want = matches.distinct().join(products, F.col("matched_generic_key") == F.col("generic_key")).select("text", "product_id").distinct()
+    assert found.count() == want.count()
