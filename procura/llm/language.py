@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
-from procura.llm.common import free_name, written
+from procura.llm.common import free_name, small_batches, written
 from procura.llm.textcode import column_chunks
 
 ORDER = 3
@@ -267,16 +267,19 @@ def _accept(held, width: int, lang: int, text: int, rates: list[float], least_sc
 def accepted(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
     """Rows whose language is known, with `lang` set to it; the columns of `docs`.
 
-    If nothing can be learned, no language is known and no row comes back.
+    If nothing can be learned, no language is known and no row comes back. The rows are
+    written here, because Arrow batches are smaller than the session's while they are made.
     """
     trees = learn(docs)
     if trees is None:
         return docs.limit(0)
-    rates = usual_rates(docs, trees)
+    with small_batches(docs.sparkSession):
+        rates = usual_rates(docs, trees)
     # a language without a labelled document found to be its own is held to the most any other takes
     bounds = [rates.get(lang, max(rates.values(), default=float("inf"))) for lang in trees.langs]
     rows = docs.where(F.col("text").rlike(r"\p{L}"))
     rows = rows.withColumn(free_name("_letters", docs.columns), _letters(F.col("text")))
     held, columns = docs.sparkSession.sparkContext.broadcast(trees), docs.columns
     passing = _accept(held, len(columns), columns.index("lang"), columns.index("text"), bounds, least_score)
-    return rows.mapInArrow(passing, rows.select(*columns).schema)
+    with small_batches(docs.sparkSession):
+        return written(rows.mapInArrow(passing, rows.select(*columns).schema))

@@ -396,3 +396,28 @@ def test_mixing(spark, empty):
     odd = spark.createDataFrame([row(1, None), row(2, ""), row(2, "")], SCHEMA)
     assert mixing.mixed(odd, labels.limit(0)).count() == 3
     assert set(mixing.apply_rates(docs, labels).columns) == set(docs.columns)
+
+
+def test_language_stage_takes_small_batches_and_puts_the_sessions_back(spark, monkeypatch):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    made = language._accept
+
+    def checked(*given):
+        run = made(*given)
+
+        def small(batches):
+            def seen():
+                for batch in batches:
+                    assert batch.num_rows <= 1000
+                    yield batch
+
+            return run(seen())
+
+        return small
+
+    monkeypatch.setattr(language, "_accept", checked)
+    rows = [(i, f"the quick brown fox number {i} jumps over the lazy dog", "en", "web", 50) for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    assert language.accepted(docs).count() == 6000
+    assert spark.conf.get(name) == before
