@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +29,8 @@ def is_quantity(cell: Column) -> Column:
 def request_columns(grid: DataFrame, scan: int = 10, sample: int = 30) -> DataFrame:
     """Per file: header_row (null if none), product, quantity and client columns.
 
-    Only a file's first `scan` + `sample` rows can count; they meet in one shuffle by file,
-    and all later groups are made of rows that lie together already.
+    Only a file's first `scan` + `sample` rows can count; they meet in one grouping by file,
+    whose rows hold all that is needed to judge their columns.
     """
     row = F.struct("row_no", "cells")
     leading = grid.where(c("row_no") < scan + sample).groupBy("file_id").agg(F.sort_array(F.collect_list(row)).alias("rows"))
@@ -49,34 +51,29 @@ def request_columns(grid: DataFrame, scan: int = 10, sample: int = 30) -> DataFr
         .withColumn("rows", F.filter("rows", lambda r: (r["row_no"] > start) & (r["row_no"] <= start + sample)))
         .withColumn("n_rows", F.size("rows"))
     )
-    # a file without a row below its title still has an answer
-    per_row = heads.select("file_id", "header_row", "header", "n_rows", F.explode_outer("rows").alias("r"))
-    cells = per_row.select("file_id", "header_row", "header", "n_rows", F.posexplode_outer("r.cells").alias("col", "cell"))
-    t, kept = text_of(c("cell")), c("cell").isNotNull()
-    name = F.lower(F.coalesce(text_of(F.get("header", c("col"))), F.lit("")))
-    named = F.lit(False)
-    for word in CLIENT_HEADERS:
-        named = named | name.contains(word)
-    per_column = (
-        cells.withColumns({"t": t, "qty": F.when(kept, is_quantity(c("cell"))), "kept": kept, "named": named})
-        .groupBy("file_id", "col")
-        .agg(
-            F.first("header_row").alias("header_row"),
-            F.first("n_rows").alias("n_rows"),
-            F.max("kept").alias("kept"),
-            F.max("named").alias("named"),
-            F.avg(c("qty").cast("double")).alias("qty_share"),
-            F.sum(F.length("t")).alias("chars"),
-            F.count_if(c("t") != "").alias("n_text"),
-            F.avg(F.when(c("t") != "", F.length("t"))).alias("mean_chars"),
-            F.count_distinct(F.when(c("t") != "", F.lower("t"))).alias("n_distinct"),
-        )
+    # columns are judged within their file's row: no grouping beside the one above
+    name = lambda i: F.lower(F.coalesce(text_of(F.get("header", i)), F.lit("")))
+    named = lambda i: reduce(lambda a, b: a | b, (name(i).contains(word) for word in CLIENT_HEADERS))
+    width = F.coalesce(F.array_max(F.transform("rows", lambda r: F.size(r["cells"]))), F.lit(0))
+    numbers = F.when(width > 0, F.sequence(F.lit(0), width - 1)).otherwise(F.array().cast("array<int>"))
+    cells = lambda i: F.filter(F.transform("rows", lambda r: F.get(r["cells"], i)), lambda x: x.isNotNull())
+    columns = F.transform(numbers, lambda i: F.struct(i.alias("col"), named(i).alias("named"), cells(i).alias("cells")))
+    texts = lambda x: F.filter(F.transform(x["cells"], text_of), lambda t: t.isNotNull())
+    quantities = lambda x: F.size(F.filter(x["cells"], is_quantity)) / F.size(x["cells"])
+    read = lambda x: F.struct(x["col"], x["named"], quantities(x).alias("qty_share"), texts(x).alias("texts"))
+    stated = lambda x: F.filter(x["texts"], lambda t: t != "")
+    with_stated = lambda x: F.struct(x["col"], x["named"], x["qty_share"], x["texts"], stated(x).alias("stated"))
+    total = lambda x: F.when(F.size(x["texts"]) > 0, F.aggregate(x["texts"], F.lit(0).cast("long"), lambda n, t: n + F.length(t)))
+    distinct = lambda x: F.size(F.array_distinct(F.transform(x["stated"], F.lower)))
+    counted = lambda x: F.struct(
+        x["col"], x["named"], x["qty_share"], total(x).alias("chars"), F.size(x["stated"]).alias("n_text"),
+        F.try_divide(total(x), F.size(x["stated"])).alias("mean_chars"), distinct(x).alias("n_distinct"),
     )
-    fields = F.struct("col", "named", "qty_share", "chars", "n_text", "mean_chars", "n_distinct")
-    files = per_column.groupBy("file_id").agg(
-        F.first("header_row").alias("header_row"),
-        F.first("n_rows").alias("n_rows"),
-        F.collect_list(F.when(c("kept"), fields)).alias("columns"),
+    files = (
+        heads.withColumn("columns", F.filter(columns, lambda x: F.size(x["cells"]) > 0))
+        .withColumn("columns", F.transform("columns", read))
+        .withColumn("columns", F.transform("columns", with_stated))
+        .select("file_id", "header_row", "n_rows", F.transform("columns", counted).alias("columns"))
     )
 
     def best(columns: Column, *by) -> Column:

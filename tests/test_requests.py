@@ -117,3 +117,10 @@ def test_a_snapshot_replaces_the_stored_stock(spark, tmp_path):
     found = [(r.generic_key, r.quantity, r.product_name, str(r.updated_at)) for r in warehouse_list(WH.stored_stock(store)).collect()]
     assert found == [("gasas", 5, "Gasas", "2024-02-01 00:00:00"), ("guantes", 2, "guantes", "2024-02-01 00:00:00")]
     assert [r.generic_key for r in warehouse_list(WH.stored_stock(store), "GUA").collect()] == ["guantes"]
+
+
+def test_request_columns_group_by_file_once(spark):
+    grid = spark.createDataFrame([("a", 0, ["x", "1"])], "file_id string, row_no int, t array<string>")
+    found = R.request_columns(grid.select("file_id", "row_no", F.transform("t", S.text_cell).alias("cells")))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 1 and "Generate" not in plan
