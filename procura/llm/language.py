@@ -202,10 +202,10 @@ def _predict(held, text: int, mark: int, kept: int):
     return run
 
 
-def identify(docs: DataFrame, trees: ContextTrees | None, keep: list[str] | None = None) -> DataFrame:
+def identify(docs: DataFrame, trees: ContextTrees | None, keep: list[str] | None = None, held=None) -> DataFrame:
     """`docs` with lang_pred, score and code_bits (of the chosen language); same-named columns are replaced.
 
-    With `keep`, only these columns of `docs` come back.
+    With `keep`, only these columns of `docs` come back. `held` is a broadcast of `trees`, if there is one already.
     """
     kept = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score", "code_bits")]
     if trees is None:
@@ -216,7 +216,7 @@ def identify(docs: DataFrame, trees: ContextTrees | None, keep: list[str] | None
     rows = docs.select(*kept, F.col("text").alias(text), lettered.alias(mark))
     schema = StructType([*docs.select(*kept).schema.fields, StructField("lang_pred", StringType())])
     schema.add("score", DoubleType()).add("code_bits", DoubleType())
-    held = docs.sparkSession.sparkContext.broadcast(trees)
+    held = held or docs.sparkSession.sparkContext.broadcast(trees)
     return rows.mapInArrow(_predict(held, len(kept), len(kept) + 1, len(kept)), schema)
 
 
@@ -234,11 +234,11 @@ def _letters(text: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(said, r"[^\p{L}\p{M}]+", " ")))
 
 
-def usual_rates(docs: DataFrame, trees: ContextTrees) -> dict[str, float]:
+def usual_rates(docs: DataFrame, trees: ContextTrees, held=None) -> dict[str, float]:
     """Median bits a byte of the letters of each language's labelled documents; one number a language reaches the driver."""
     rows = docs.where("lang is not null").select("lang", _letters(F.col("text")).alias("text"))
     rows = rows.withColumn("size", F.octet_length("text")).where("size > 0")
-    own = identify(rows, trees, keep=["lang", "size"]).where("lang_pred = lang")
+    own = identify(rows, trees, keep=["lang", "size"], held=held).where("lang_pred = lang")
     rates = own.groupBy("lang").agg(F.percentile_approx(F.col("code_bits") / F.col("size"), 0.5).alias("rate"))
     return {r.lang: r.rate for r in rates.collect()}
 
@@ -273,13 +273,16 @@ def accepted(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
     trees = learn(docs)
     if trees is None:
         return docs.limit(0)
+    held = docs.sparkSession.sparkContext.broadcast(trees)
     with small_batches(docs.sparkSession):
-        rates = usual_rates(docs, trees)
+        rates = usual_rates(docs, trees, held)
     # a language without a labelled document found to be its own is held to the most any other takes
     bounds = [rates.get(lang, max(rates.values(), default=float("inf"))) for lang in trees.langs]
     rows = docs.where(F.col("text").rlike(r"\p{L}"))
     rows = rows.withColumn(free_name("_letters", docs.columns), _letters(F.col("text")))
-    held, columns = docs.sparkSession.sparkContext.broadcast(trees), docs.columns
+    columns = docs.columns
     passing = _accept(held, len(columns), columns.index("lang"), columns.index("text"), bounds, least_score)
     with small_batches(docs.sparkSession):
-        return written(rows.mapInArrow(passing, rows.select(*columns).schema))
+        found = written(rows.mapInArrow(passing, rows.select(*columns).schema))
+    held.destroy()  # the driver keeps no table of what is written now
+    return found
