@@ -34,8 +34,7 @@ def _options(store: TableStore) -> DataFrame:
 
 def _replace(store: TableStore, rows: DataFrame, batch: str, options: DataFrame | None = None) -> None:
     """Put `rows`, at most one a line, in place of what their lines held; lines are never removed, so no bucket empties."""
-    stored = store.read_touched("comparison_items", S.COMPARISON_ITEM, rows, "request_id")
-    merged = cut_lineage(stored.join(rows, _ITEM, "left_anti").select(*rows.columns).unionByName(rows))
+    merged = store.replaced("comparison_items", S.COMPARISON_ITEM, rows, _ITEM, "request_id")
     store.commit({}, batch, {"comparison_options": options} if options is not None else None, {"comparison_items": (merged, ["request_id"])})
 
 
@@ -64,21 +63,22 @@ def store_comparisons(store: TableStore, quotes: DataFrame, options: DataFrame,
     _replace(store, rows, batch, facts)
 
 
-def stored_comparisons(store: TableStore) -> DataFrame:
-    """One row per line and option, with the line's confidence and the `selected` flag."""
-    lines = _items(store).where("batch is not null")
+def stored_comparisons(store: TableStore, first_only: bool = False) -> DataFrame:
+    """One row per line and option, with the line's confidence and the `selected` flag.
+
+    With `first_only`, one row per line: the smallest offer_id it was compared with, without
+    product, supplier, price and reasons. It is found once per demand, before lines join.
+    """
+    lines, options = _items(store).where("batch is not null"), _options(store)
     on = ["batch", *DEMAND]
-    pairs = skew_join(lines, _options(store), on, ["item_id"], "inner", hot_keys(lines.select(*on), on))
+    if first_only:
+        options = options.groupBy(*on).agg(F.min("offer_id").alias("offer_id"))
+    pairs = skew_join(lines, options, on, ["item_id"], "inner", hot_keys(lines.select(*on), on))
+    selected = F.coalesce(c("offer_id") == c("selected_offer_id"), F.lit(False)).alias("selected")
+    if first_only:
+        return pairs.select(*_ITEM, "offer_id", "match_confidence", selected)
     return pairs.select(
-        *_ITEM,
-        "product_id",
-        "supplier_id",
-        "offer_id",
-        "price",
-        "availability",
-        "match_confidence",
-        F.coalesce(c("offer_id") == c("selected_offer_id"), F.lit(False)).alias("selected"),
-        "discard_reason",
+        *_ITEM, "product_id", "supplier_id", "offer_id", "price", "availability", "match_confidence", selected, "discard_reason"
     )
 
 
@@ -91,7 +91,10 @@ def decide_stored(store: TableStore, decisions: DataFrame, batch: str) -> None:
     """
     if store.committed(batch):
         return
-    asked = decisions.where(c("action").isin("choose", "exclude", "none")).select(*_ITEM, "action", c("offer_id").alias("wanted"))
+    # read for its buckets and for its rows
+    asked = cut_lineage(
+        decisions.where(c("action").isin("choose", "exclude", "none")).select(*_ITEM, "action", c("offer_id").alias("wanted"))
+    )
     held = store.read_touched("comparison_items", S.COMPARISON_ITEM, asked, "request_id")
     lines = cut_lineage(held.where("batch is not null").join(asked, _ITEM))
     offered = _options(store).select("batch", *DEMAND, c("offer_id").alias("wanted"))
