@@ -1,6 +1,7 @@
 """Chat, URL lists, neighbours and the pipeline's stages on small fixtures."""
 
 import hashlib
+import re
 from datetime import date
 
 import duckdb
@@ -140,6 +141,32 @@ def test_neighbours(spark):
     assert [(r.query_id, r.vec_id) for r in multi_index.nearest(two, two.where("vec_id = 0")).collect()] == [(0, 1)]
 
 
+def test_neighbours_send_the_driver_a_sample_only(spark):
+    n = 3000
+    vectors = np.random.default_rng(3).normal(size=(n, 8))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)] * 2, "vec_id long, embedding array<double>").repartition(6)
+    base = multi_index.usable(rows).distinct()
+    picked = base.withColumn("h", F.xxhash64("vec_id")).orderBy("h").limit(50).collect()
+    assert {tuple(x) for x in multi_index.sampled(base, 50)} == {tuple(r.vector) for r in picked}
+    assert len(multi_index.sampled(base, 2 * n)) == n and len(multi_index.sampled(base.limit(0), 5)) == 0
+    # vectors meet by a shuffle, never in a join that may be planned as a broadcast
+    found = multi_index.nearest(rows, rows.where("vec_id % 50 = 0"), share=1.0)
+    joins = re.findall(r"Join .*", found._jdf.queryExecution().optimizedPlan().toString())
+    assert [j.count("strategy=broadcast") for j in joins] == [1]
+    want = _exact(list(enumerate(vectors)))
+    got = found.collect()
+    assert {q: [r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] for q in want} == want
+
+
+def test_neighbours_with_many_equal_scores(spark, monkeypatch):
+    # multiples of one vector all tie; the smallest ids count, however few candidates are held
+    monkeypatch.setattr(multi_index, "WAITING", 4)
+    rows = spark.createDataFrame([(i, [float(2 ** (i % 7)), 0.0]) for i in range(60)], "vec_id long, embedding array<double>")
+    got = multi_index.nearest(rows, rows.where("vec_id % 50 = 0"), share=1.0).collect()
+    found = {q: [r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] for q in (0, 50)}
+    assert found == {0: [1, 2, 3, 4, 5], 50: [0, 1, 2, 3, 4]}
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     names = [name for name, _ in corpus_pipeline.STAGES]
